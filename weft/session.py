@@ -30,9 +30,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the star schema, as stored."""
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def share_package(spark: SparkSession) -> None:
+    """Python workers find this package where the driver does, wherever the driver was started."""
+    root, own = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if root not in own.get("PYTHONPATH", "").split(os.pathsep):
+        own["PYTHONPATH"] = os.pathsep.join(filter(None, [root, own.get("PYTHONPATH", "")]))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or an own one where that is unset.
 
