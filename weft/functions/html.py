@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weft.functions.rowwise import rowwise
+
 MOST_CHARS = 1_000_000
 NOTICE = "\n\n[Content truncated]"
 DROPPED = "script|style|nav|header|footer|aside|noscript"
@@ -169,7 +170,5 @@ def markdown(node: Node) -> str:
     return re.sub(r"\n{3,}", "\n\n", block(node)).strip()
 
 
-@F.pandas_udf("string")
-def readable(pages: pd.Series) -> pd.Series:
-    """The article of each page as Markdown; null pages stay null."""
-    return pd.Series([None if not isinstance(h, str) else markdown(article(h)) for h in pages], dtype=object)
+#: The article of each page as Markdown; null pages give an empty one.
+readable = rowwise(lambda html: markdown(article(html)), "string")

@@ -280,11 +280,12 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by the category of their address's extension."""
+    """Files named after pages by the category of their extension."""
     from weft.functions.files import category
 
-    path = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", "")
-    return table(spark, sf_dir, "pages").select(category(F.concat(path, F.element_at(F.array(*map(F.lit, (".md", ".pdf", ".png", ".py", ""))), (F.col("page_id") % 5 + 1).cast("int")))).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    ending = F.element_at(F.array(*map(F.lit, (".md", ".pdf", ".png", ".py", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("raw/sources/p"), "page_id", ending)
+    return table(spark, sf_dir, "pages").select(category(path).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
 CATEGORY_SQL = """SELECT CASE page_id % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' WHEN 3 THEN 'code' ELSE 'unknown' END AS category, count(*) AS n FROM pages GROUP BY 1"""
