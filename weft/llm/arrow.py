@@ -23,3 +23,20 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, rows: int = 256, size:
                 end += 1
             yield batch.slice(at, end - at), column.slice(at, end - at).to_pylist()
             at = end
+
+
+class Numbered(dict):
+    """Numbers words in the order in which they are first asked for; ``fresh`` holds those that came since it was taken."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def take(self) -> list[str]:
+        found, self.fresh = self.fresh, []
+        return found

@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.arrow import Numbered
 from weft.llm.arrow import pieces as slices
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.int64(1 << 40)
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 SLOT_BITS = 21
+SOME_BITS = 20
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -86,6 +88,9 @@ class Model:
         self.keys, self.turns, self.reached = self.hash[order], order, reached
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
+        # which buckets of hashes hold a piece at all: most substrings are settled by that
+        self.some = np.zeros(1 << SOME_BITS, bool)
+        self.some[(self.keys >> np.uint64(64 - SOME_BITS)).astype(np.int64)] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -108,8 +113,15 @@ class Model:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The pieces with these hashes, NONE where there's none."""
-        i = np.searchsorted(self.keys, hashes).clip(max=len(self.keys) - 1)
-        return np.where(self.keys[i] == hashes, self.turns[i], NONE)
+        out = np.full(len(hashes), NONE)
+        may = np.flatnonzero(self.some[(hashes >> np.uint64(64 - SOME_BITS)).astype(np.int64)])
+        if len(may):
+            asked = hashes[may]
+            i = np.searchsorted(self.keys, asked)
+            i[i == len(self.keys)] = 0
+            hit = self.keys[i] == asked
+            out[may[hit]] = self.turns[i[hit]]
+        return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b, side by side, stay as they are under the merges."""
@@ -176,15 +188,18 @@ class Model:
                 for size in range(1, min(end, self.longest) + 1):
                     start = end - size
                     piece = self.find(prefix[:, end] - prefix[:, start] * self.power[size])
-                    may = piece != NONE
-                    may[may] = self.reached[piece[may]]
-                    before = last[:, start]
-                    ask = np.flatnonzero(may & (before >= 0) & (before != NONE)) if start else np.zeros(0, int)
-                    good = may & ((start == 0) | (before == -1))
-                    good[ask] = self.compatible(before[ask], piece[ask])
-                    better = good & (size > best)
-                    best[better] = size
-                    last[better, end], back[better, end] = piece[better], size
+                    who = np.flatnonzero(piece != NONE)
+                    if not len(who):
+                        continue
+                    piece = piece[who]
+                    good = self.reached[piece]
+                    if start:
+                        before = last[who, start]
+                        ask = np.flatnonzero(good & (before >= 0))
+                        good[ask] = self.compatible(before[ask], piece[ask])
+                    who, piece = who[good], piece[good]
+                    best[who] = size
+                    last[who, end], back[who, end] = piece, size
                 lost = rows[best < 0]
                 last[lost, end], back[lost, end] = -1, 1
         out = []
@@ -210,25 +225,31 @@ class Codec:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.memo: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = Numbered()
+        self.ids: list[bytes] = []
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text; null and empty texts have none."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        split = []
+        if len(self.numbers) > MEMO_WORDS:
+            self._clear()
+        number, split = self.numbers.__getitem__, []
         for t in texts:
             s = (t or b"").decode("utf-8", "replace")
             if not s:
-                split.append([])
-            elif "  " in s or s[0] == " " or s[-1] == " " or SPACE in s:
-                split.append(WORDS.findall(SPACE + s.replace(" ", SPACE)))
+                words = []
+            elif "  " in s or " \n" in s or s[0] == " " or s[-1] == " " or SPACE in s:
+                words = WORDS.findall(SPACE + s.replace(" ", SPACE))
             else:
-                split.append([SPACE + w for w in s.split(" ")])
-        new = list({w for words in split for w in words} - self.memo.keys())
-        self.memo.update(zip(new, (x.astype("<i4").tobytes() for x in self.model.segment(new)), strict=True))
-        get = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<i4") for words in split]
+                # a line break is in no piece, so none reaches over it; other words stand behind a space that is left out
+                words = s.replace("\n", " \n").split(" ")
+            split.append(list(map(number, words)))
+        fresh = [w if w[:1] in (SPACE, "\n") else SPACE + w for w in self.numbers.take()]
+        self.ids += [x.astype("<i4").tobytes() for x in self.model.segment(fresh)]
+        ids = self.ids.__getitem__
+        return [np.frombuffer(b"".join(map(ids, words)), "<i4") for words in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The texts of these ids."""
@@ -254,7 +275,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         if path not in _codecs:
             _codecs[path] = Codec(held.value)
         codec = _codecs[path]
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", 4096, 16_000_000):
             ids = codec.encode(texts)
             same = [a == (b or b"") for a, b in zip(codec.decode(ids), texts, strict=True)]
             columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(same)]

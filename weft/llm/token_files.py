@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +33,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.arrow import pieces
+from weft.llm.arrow import Numbered, pieces
 from weft.session import checkpoint_dir, materialize
 
 MAGIC = b"WFTPLN01"
 BLOCK_IDS = 1 << 16
 END_ID = 0
-MEMO_PIECES = 250_000
+MEMO_PIECES = 600_000
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
 # ---- ids
 
 
+def _parts(piece: str) -> list[str]:
+    """A piece cut at single line breaks, and before a last mark of punctuation behind a letter: the library splits there too."""
+    if "\n" not in piece:
+        return [piece[:-1], piece[-1]] if piece[-1] in ".,;:!?" and len(piece) > 2 and piece[-2].isalpha() else [piece]
+    out = []
+    for i, line in enumerate(piece.split("\n")):
+        if not line or line[0].isspace() and i or line[-1].isspace():
+            return [piece]
+        out += ["\n"] if i else []
+        out += [line[:-1], line[-1]] if line[-1] in ".,;:!?" and len(line) > 2 and line[-2].isalpha() else [line]
+    return out
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
@@ -59,38 +73,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes | None] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers, self.parts = Numbered(), Numbered()
+        self.ids: list[bytes | None] = []
+        self.part_ids: list[bytes] = []
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
+        if len(self.numbers) > MEMO_PIECES:
+            self._clear()
         whole = [(t or b"").decode("utf-8", "replace") for t in texts]
-        split = []
+        number, split = self.numbers.__getitem__, []
         for t in whole:
-            first, *rest = t.split(" ")
             # the first piece has no space before it: a mark keeps it apart from " first"
-            split.append(["\0" + first, *rest])
-        new = list({p for s in split for p in s} - self.memo.keys())
-        plain, keys = [], []
-        for p in new:
-            if p[:1] == "\0" and len(p) > 1 and not p[1].isspace() and not p[-1].isspace():
-                plain.append(p[1:])
-                keys.append(p)
-            elif p and p[0] != "\0" and not p[0].isspace() and not p[-1].isspace():
-                plain.append(" " + p)
-                keys.append(p)
-            else:
-                self.memo[p] = None
-        for at in range(0, len(plain), 4096):
-            self.memo.update(zip(keys[at : at + 4096], self._ids(plain[at : at + 4096]), strict=True))
-        get, out = self.memo.__getitem__, []
+            split.append(list(map(number, ("\0" + t).split(" "))))
+        fresh = self.numbers.take()
+        found: list[bytes | None] = [None] * len(fresh)
+        part, cut, at = self.parts.__getitem__, [], []
+        for i, p in enumerate(fresh):
+            first = p[:1] == "\0"
+            own = p[1:] if first else p
+            if own and own[0] != "\0" and not own[0].isspace() and not own[-1].isspace():
+                cut.append(list(map(part, _parts(own if first else " " + own))))
+                at.append(i)
+        plain = self.parts.take()
+        for i in range(0, len(plain), 4096):
+            self.part_ids += self._encode(plain[i : i + 4096])
+        of = self.part_ids.__getitem__
+        for i, parts in zip(at, cut, strict=True):
+            found[i] = b"".join(map(of, parts))
+        self.ids += found
+        ids, out = self.ids.__getitem__, []
         for t, s in zip(whole, split, strict=True):
-            found = list(map(get, s))
-            out.append(self._ids([t])[0] if None in found else b"".join(found))
+            parts = list(map(ids, s))
+            out.append(self._encode([t])[0] if None in parts else b"".join(parts))
         return out
 
 
