@@ -90,15 +90,16 @@ class Encoder:
         whole = [(t or b"").decode("utf-8", "replace") for t in texts]
         number, split = self.numbers.__getitem__, []
         for t in whole:
-            # the first piece has no space before it: a mark keeps it apart from " first"
-            split.append(list(map(number, ("\0" + t).split(" "))))
+            words = t.split(" ")
+            words[0] = " " + words[0]  # marks the piece that has no space before it; no other piece holds one
+            split.append(list(map(number, words)))
         fresh = self.numbers.take()
         found: list[bytes | None] = [None] * len(fresh)
         part, cut, at = self.parts.__getitem__, [], []
         for i, p in enumerate(fresh):
-            first = p[:1] == "\0"
+            first = p[:1] == " "
             own = p[1:] if first else p
-            if own and own[0] != "\0" and not own[0].isspace() and not own[-1].isspace():
+            if own and not own[0].isspace() and not own[-1].isspace():
                 cut.append(list(map(part, _parts(own if first else " " + own))))
                 at.append(i)
         plain = self.parts.take()
