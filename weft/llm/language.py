@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.arrow import pieces
+from weft.llm.arrow import Numbered, pieces
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -144,29 +144,26 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.numbers = Numbered()
         self.table = np.zeros((0, len(self.models.languages) + 1))
 
     def texts(self, texts: list[bytes | None]) -> np.ndarray:
         """A row for each text: letters and word ends, then bits for each language."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.numbers) > MEMO_WORDS:
             self._clear()
-        split = [(t or b"").decode("utf-8", "replace").split() for t in texts]
-        new = list({w for words in split for w in words} - self.memo.keys())
-        if new:
-            plain = [letters(w) for w in new]
-            rows = np.zeros((len(new), self.table.shape[1]))
+        number = self.numbers.__getitem__
+        split = [np.array(list(map(number, (t or b"").decode("utf-8", "replace").split())), np.int64) for t in texts]
+        plain = [letters(w) for w in self.numbers.take()]
+        if plain:
+            rows = np.zeros((len(plain), self.table.shape[1]))
             some = np.array([i for i, w in enumerate(plain) if w], int)
             if len(some):
-                n, bits = self.models.words([plain[i] for i in some])
-                rows[some, 0], rows[some, 1:] = n, bits
-            self.memo.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+                rows[some, 0], rows[some, 1:] = self.models.words([plain[i] for i in some])
             self.table = np.concatenate([self.table, rows])
-        get, out = self.memo.__getitem__, np.zeros((len(texts), self.table.shape[1]))
-        for i, words in enumerate(split):
-            if words:
-                ids, times = np.unique(np.fromiter(map(get, words), np.int64, len(words)), return_counts=True)
-                out[i] = times @ self.table[ids]
+        out = np.zeros((len(texts), self.table.shape[1]))
+        for i, ids in enumerate(split):
+            if len(ids):
+                out[i] = self.table[ids].sum(0)
         return out
 
 
@@ -282,6 +279,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                     rejects.append(bool(h is None or h.min() > models.limit))
             yield pd.DataFrame({"lang_pred": preds, "rejected": rejects})
 
-    seen = docs.withColumn("_judged", judge(F.col("text")))
-    seen = seen.where(~F.col("_judged.rejected")).withColumn("lang", F.coalesce("lang", "_judged.lang_pred"))
-    return seen.drop("_judged")
+    found = "judged"
+    while found in docs.columns:
+        found += "_"
+    seen = docs.withColumn(found, judge(F.col("text").cast("string")))
+    return seen.where(~F.col(f"{found}.rejected")).withColumn("lang", F.coalesce("lang", f"{found}.lang_pred")).drop(found)

@@ -141,7 +141,7 @@ def decide(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHA
     return some
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot_rows: int = HOT_ROWS, counts: bool = True) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` without its repeated and similar lines, and three more columns:
     ``n_lines`` (with a word), ``n_repeated``, ``n_similar`` (removed ones).
 
@@ -149,7 +149,8 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     counts whether or not it is itself removed. Lines shorter than ``min_chars`` are only removed as equal
     ones. Blank lines always stay. Order is by doc_id, then by a hash of the text for rows with one doc_id
     (null ids come first). Null texts stay null with zero counts; a text whose lines all go becomes empty;
-    an empty table gives no rows. Names that clash with working columns are kept apart.
+    an empty table gives no rows. Without ``counts`` the columns are those of ``docs``; with them, columns of ``docs`` that
+    are named like a count are left out. Names that clash with working columns are kept apart.
     """
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     ids, text = F.col("doc.doc_id").cast("long"), F.col("doc.text").cast("string")
@@ -160,7 +161,8 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     drop = F.concat("repeated", "similar")
     new = F.when(F.col("repeated").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n"))
     n_lines = F.size(F.filter(lines, lambda x: F.trim(x, F.lit(BLANK)) != ""))
-    fields = [new.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines")]
-    counts += [F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(f"n_{c}") for c in ("repeated", "similar")]
-    return left.select(*fields, *counts)
+    made = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long")} if counts else {}
+    for c in ("repeated", "similar") if counts else ():
+        made[f"n_{c}"] = F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    fields = [new.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in made]
+    return left.select(*fields, *[c.alias(name) for name, c in made.items()])
