@@ -30,7 +30,7 @@ def plain(texts):
     rare = math.log(len(texts) + 1) + 1
     out = []
     for text in texts:
-        best = (0.0, 0, None)
+        best = (0.0, 0, "")
         for sentence in re.split(r"\n|(?<=[.!?;])[ \t]+", text or ""):
             tf = Counter(L.terms(sentence))
             norm = math.sqrt(sum((k * idf[t]) ** 2 if t in idf else k * rare**2 for t, k in tf.items()))

@@ -83,5 +83,36 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+_BLANKS = "[\\x20\\x09-\\x0D]"
+
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
+_VERDICT = " AND ".join(part for name, least, most in quality.RULES for part in ([f"{name} >= {least}"] if least is not None else []) + ([f"{name} <= {most}"] if most is not None else []))
+OP2_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+    SELECT doc_id, text, list_filter(string_split_regex(text, '{_BLANKS}+'), lambda x: x <> '') AS words,
+        list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM t
+), places AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3
+), rep AS (SELECT doc_id, i FROM places QUALIFY count(*) OVER (PARTITION BY doc_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) > 1
+), cover AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY 1
+), c AS (
+    SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+        len(list_filter(words, lambda x: lower(rtrim(x, '.,;:!?')) IN ({_STOP}))) AS n_stop,
+        len(list_filter(lines, lambda l: regexp_matches(l, '(\\.\\.\\.|…){_BLANKS}*$'))) AS n_ellipsis,
+        len(list_filter(lines, lambda l: regexp_matches(l, '^{_BLANKS}*[-*•]'))) AS n_bullet
+    FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id
+), r AS (
+    SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbol_ratio, n_stop / greatest(n_words, 1) AS stop_ratio,
+        n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_repeat_words / greatest(n_words, 1) AS repeat_word_ratio,
+        n_ellipsis / greatest(n_lines, 1) AS ellipsis_line_ratio, n_bullet / greatest(n_lines, 1) AS bullet_line_ratio,
+        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_VERDICT} AS kept,
+    mean_word_chars, symbol_ratio, stop_ratio, dup_line_ratio, repeat_word_ratio, ellipsis_line_ratio, bullet_line_ratio FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vptree": OP1_SQL}
+    return {"op1_vptree": OP1_SQL, "op2_quality": OP2_SQL}
