@@ -157,7 +157,7 @@ def page_type(content: Column) -> Column:
 
 def wikilinks(content: Column) -> Column:
     """Targets of [[target]] and [[target|alias]], trimmed, in order, repeats included."""
-    return F.filter(F.transform(F.regexp_extract_all(content, F.lit(WIKILINK), F.lit(1)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(content, F.lit(WIKILINK), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def image_refs(content: Column) -> Column:

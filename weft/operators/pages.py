@@ -43,5 +43,5 @@ def clean_answer(text: Column) -> Column:
 
 def answer_title(text: Column) -> Column:
     """The first visible line of an answer without heading marks, up to 60 characters."""
-    lines = F.filter(F.transform(F.split(clean_answer(text), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(clean_answer(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.regexp_replace(F.get(lines, F.lit(0)), r"^#+\s*", ""), 1, 60)

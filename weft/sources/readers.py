@@ -309,7 +309,7 @@ PRIVATE = r"(?i)^(localhost|.*\.local|0\.0\.0\.0|127\.|10\.|192\.168\.|169\.254\
 
 def url_lines(text: Column) -> Column:
     """Trimmed lines of a pasted list that aren't empty."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def url_batch(lists: DataFrame, column: str = "text", most: int = 50) -> DataFrame:
