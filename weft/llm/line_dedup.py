@@ -7,12 +7,13 @@ Equal lines meet on 128 bits of hashes, aggregated before the shuffle. For edits
 threshold+1 even segments: of so many edits at least one segment is untouched. Every distinct line
 puts its segments into an index keyed by (length, segment number, content), and probes, for each length
 within the threshold, the substrings at which a segment of such a line can lie if the segments before
-it took at least as many edits as their number less one (multi-match selection). Lines that meet are
-read again and verified with Spark's banded edit distance, which gives up beyond the threshold.
+it took at least as many edits as their number less one (multi-match selection). Lines that meet
+another are read again and get a signature, 64 parities of their character pairs: an edit changes at
+most four, so pairs that differ in more than 4*threshold are passed over. The others are verified with
+Spark's banded edit distance, which gives up beyond the threshold.
 
-A segment that very many lines share (``hot_rows``) is dealt anew: an edit touches at most three
-words, so two such lines differ in at most 3*threshold bits of a 64-bit word parity signature, and
-one of 3*threshold+1 blocks of that signature agrees. No line is left out.
+A segment that very many lines share (``hot_rows``) is dealt anew by the 4*threshold+1 blocks of the
+signatures, one of which agrees where at most 4*threshold bits differ. No line is left out.
 """
 
 from __future__ import annotations
@@ -66,14 +67,15 @@ def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
 
 
 def _signature(line: Column) -> Column:
-    """Parity of the words by 64 classes."""
-    words = F.split(line, "[\\x20\\x09-\\x0D]+")
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+    """Parity of the pairs of neighbouring characters by 64 classes; an edit changes at most four bits."""
+    chars = F.split(line, "")
+    bit = lambda c, i: F.when(F.get(chars, i + 1).isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.get(chars, i + 1)), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(F.transform(chars, bit), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(x))
 
 
 def _blocks(signature: Column, threshold: int) -> Column:
-    """Structs (number, bits) of the 3*threshold+1 blocks of a signature."""
-    n = 3 * threshold + 1
+    """Structs (number, bits) of the 4*threshold+1 blocks of a signature."""
+    n = 4 * threshold + 1
     edges = [64 * i // n for i in range(n + 1)]
     parts = [F.shiftrightunsigned(signature, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return F.explode(F.array(*[F.struct(F.lit(i).alias("number"), p.alias("bits")) for i, p in enumerate(parts)]))
@@ -95,25 +97,31 @@ def near_links(lines: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, h
 
     ``lines``: the distinct lines (h, row, line_no, index_keys, probe_keys). ``texts``: (row, line_no, h, line).
     """
-    index = lines.select(F.col("h").alias("a"), F.explode("index_keys").alias("key"))
-    probe = lines.select(F.col("h").alias("b"), F.explode("probe_keys").alias("key"))
-    hot = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key"), "hot")
+    index = lines.select("h", F.explode("index_keys").alias("key"))
+    probe = lines.select("h", F.explode("probe_keys").alias("key"))
+    # first the entries that meet another line at all, one by one; only these are paired
+    other = lambda df: df.select(F.col("h").alias("other"), "key")
+    meets = lambda x, y: x.join(other(y), (x["key"] == y["key"]) & (F.col("h") != F.col("other")), "left_semi")
+    live = materialize(meets(index, probe).withColumn("probes", F.lit(False)).unionByName(meets(probe, index).withColumn("probes", F.lit(True))), "live")
+    found = materialize(_texts_of(live.select("h").distinct(), lines, texts).withColumn("s", _signature(F.col("line"))), "found")
+    signed = live.join(found.select("h", "s"), "h")
+    side = lambda df, probes, name, *more: df.where(F.col("probes") == probes).select("key", F.col("h").alias(name), F.col("s").alias(f"s{name}"), *more)
+    close = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 4 * threshold)
+    hot = materialize(live.where(~F.col("probes")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key"), "hot")
     if hot.isEmpty():
-        met = index.join(probe, "key").where("a <> b").select("a", "b")
+        x, y = side(signed, False, "a"), side(signed, True, "b")
+        met = x.join(y, (x["key"] == y["key"]) & close).select("a", "b")
     else:
-        rare = _few(hot)
-        met = index.join(rare, "key", "left_anti").join(probe.join(rare, "key", "left_anti"), "key").where("a <> b").select("a", "b")
-        many, asks = index.join(rare, "key", "left_semi"), probe.join(rare, "key", "left_semi")
-        signed = _texts_of(many.select(F.col("a").alias("h")).union(asks.select("b")).distinct(), lines, texts)
-        signed = materialize(signed.select("h", _signature(F.col("line")).alias("s")), "signatures")
-        x = many.join(signed.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").select("key", "a", "sa", _blocks(F.col("sa"), threshold).alias("block"))
-        y = asks.join(signed.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b").select("key", "b", "sb", _blocks(F.col("sb"), threshold).alias("block"))
-        close = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 3 * threshold)
-        met = met.unionByName(x.join(y, (x.key == y.key) & (x.block == y.block) & close).select("a", "b"))
-    met = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    found = _texts_of(met.select(F.explode(F.array("a", "b")).alias("h")).distinct(), lines, texts)
+        many = _few(hot)
+        rest = signed.join(many, "key", "left_anti")
+        x, y = side(rest, False, "a"), side(rest, True, "b")
+        met = x.join(y, (x["key"] == y["key"]) & close).select("a", "b")
+        dealt = signed.join(many, "key", "left_semi").select("*", _blocks(F.col("s"), threshold).alias("block"))
+        x, y = side(dealt, False, "a", "block"), side(dealt, True, "b", "block")
+        met = met.unionByName(x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & close).select("a", "b"))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one, two = found.select(F.col("h").alias("a"), F.col("line").alias("line_a")), found.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
-    return met.join(one, "a").join(two, "b").where(F.levenshtein("line_a", "line_b", threshold) >= 0).select("a", "b")
+    return met.join(one, "a").join(two, "b").where(F.levenshtein("line_a", "line_b", threshold) >= 0).select("a", "b").distinct()
 
 
 def decide(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
