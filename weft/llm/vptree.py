@@ -48,6 +48,8 @@ class Tree:
         _, first, back = np.unique(vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
         back = back.ravel()
         by = np.argsort(back, kind="stable")
+        again = (np.diff(back[by], prepend=-1) == 0) & (np.diff(ids[by], prepend=ids[by[0]] - 1) == 0)
+        by = by[~again]  # a repeated row counts once
         bounds = np.searchsorted(back[by], np.arange(len(first) + 1))
         self.ids = [ids[by[a : min(b, a + k + 1)]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.points, self.k, self.visits = vectors[first], k, 0
@@ -147,7 +149,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, relax: float = RELAX
     candidates than k give fewer rows; an empty table gives none. Extra columns are ignored.
     """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), queries.alias("is_query"))
-    rows = rows.where(F.col("id").isNotNull() & _usable(F.col("v"))).dropDuplicates(["id", "v"])
+    rows = rows.where(F.col("id").isNotNull() & _usable(F.col("v")))
     shards = max(MIN_SHARDS, -(-table.count() // shard_rows))
     dim = F.size("v")
     points = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), dim.alias("dim"), F.lit(0).alias("kind"), "id", "v")
@@ -179,6 +181,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, relax: float = RELAX
                         yield pa.record_batch([pa.array(asked[who]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     dealt = points.unionByName(asks).repartition(shards, "shard", "dim").sortWithinPartitions("shard", "dim", "kind", "id")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id", "score"])
+    # one exchange by query serves both the repeated queries and the ranking
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").repartition("query_id").dropDuplicates(["query_id", "vec_id", "score"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
