@@ -66,11 +66,13 @@ def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
     return F.array(*keys)
 
 
-def _signature(line: Column) -> Column:
-    """Parity of the pairs of neighbouring characters by 64 classes; an edit changes at most four bits."""
-    chars = F.split(line, "")
-    bit = lambda c, i: F.when(F.get(chars, i + 1).isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.get(chars, i + 1)), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.transform(chars, bit), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(x))
+def _signature(chars: Column) -> Column:
+    """Parity of the pairs of neighbouring characters by 64 classes; an edit changes at most four bits.
+
+    ``chars`` must be a column of its own: an expression would be worked out again for every character."""
+    pairs = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0)))
+    bits = F.transform(pairs, lambda c, i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.get(chars, i + 1)), F.lit(64)).cast("int")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
 
 
 def _blocks(signature: Column, threshold: int) -> Column:
@@ -97,17 +99,19 @@ def near_links(lines: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, h
 
     ``lines``: the distinct lines (h, row, line_no, index_keys, probe_keys). ``texts``: (row, line_no, h, line).
     """
-    index = lines.select("h", F.explode("index_keys").alias("key"))
-    probe = lines.select("h", F.explode("probe_keys").alias("key"))
-    # first the entries that meet another line at all, one by one; only these are paired
-    other = lambda df: df.select(F.col("h").alias("other"), "key")
-    meets = lambda x, y: x.join(other(y), (x["key"] == y["key"]) & (F.col("h") != F.col("other")), "left_semi")
-    live = materialize(meets(index, probe).withColumn("probes", F.lit(False)).unionByName(meets(probe, index).withColumn("probes", F.lit(True))), "live")
-    found = materialize(_texts_of(live.select("h").distinct(), lines, texts).withColumn("s", _signature(F.col("line"))), "found")
+    entries = lambda keys, probes: lines.select("h", F.explode(keys).alias("key"), F.lit(probes).alias("probes"))
+    emitted = entries("index_keys", False).unionByName(entries("probe_keys", True))
+    # first the keys at which different lines meet: a sum for each key, whatever its number of lines is; only these are paired
+    own = F.sum(F.when(F.col("probes"), 0).otherwise(1)).alias("n")
+    keys = emitted.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), own).where("least <> most and n > 0").select("key", "n")
+    keys = materialize(keys, "keys")
+    live = materialize(emitted.join(_few(keys.select("key")), "key", "left_semi"), "live")
+    read = _texts_of(live.select("h").distinct(), lines, texts).withColumn("chars", F.split("line", ""))
+    found = materialize(read.select("h", "line", _signature(F.col("chars")).alias("s")), "found")
     signed = live.join(found.select("h", "s"), "h")
     side = lambda df, probes, name, *more: df.where(F.col("probes") == probes).select("key", F.col("h").alias(name), F.col("s").alias(f"s{name}"), *more)
     close = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 4 * threshold)
-    hot = materialize(live.where(~F.col("probes")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key"), "hot")
+    hot = keys.where(F.col("n") > hot_rows).select("key")
     if hot.isEmpty():
         x, y = side(signed, False, "a"), side(signed, True, "b")
         met = x.join(y, (x["key"] == y["key"]) & close).select("a", "b")
