@@ -282,5 +282,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     found = "judged"
     while found in docs.columns:
         found += "_"
-    seen = docs.withColumn(found, judge(F.col("text").cast("string")))
+    # not deterministic for the optimizer: else it works the models out once for the filter and again for the columns
+    seen = docs.withColumn(found, judge.asNondeterministic()(F.col("text").cast("string")))
     return seen.where(~F.col(f"{found}.rejected")).withColumn("lang", F.coalesce("lang", f"{found}.lang_pred")).drop(found)
