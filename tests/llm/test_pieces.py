@@ -19,6 +19,7 @@ def samples(pieces):
     letters = "abcdefghi  \n\t<s>éß漢字😀▁'’.,0123ABC…ﬁ aeiou theing"
     out = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     out += ["", " ", "  ", "\n", "\nA", "a\nB", "a \nB", "a\n B", "a", "aaaaaaaaaaaaaaaaaaa", " a  b ", "x" * 400, "<s> </s> <unk> <0x41>"]
+    out += ["".join(rng.choice(letters.replace(" ", "")) for _ in range(n)) for n in (513, 900, 2000)] + ["".join(rng.choices(pieces, k=300)).replace("▁", "")]
     return out + [(p + rng.choice(pieces) + rng.choice(pieces)).replace("▁", " ") for p in rng.sample(pieces, 2500)]
 
 

@@ -34,6 +34,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.int64(1 << 40)
 MEMO_WORDS = 400_000
 SLOT_BITS = 21
+#: Longer words are worked on alone.
+LONG = 512
 SOME_BITS = 20
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -165,7 +167,9 @@ class Model:
         """The ids of each word; words of one length advance together."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         lengths = np.array([len(w) for w in words], int)
-        for n in np.unique(lengths):
+        for i in np.flatnonzero(lengths > LONG):
+            out[i] = self._long(words[i])
+        for n in np.unique(lengths[lengths <= LONG]):
             which = np.flatnonzero(lengths == n)
             step = max(1, 400_000 // int(n))
             for at in range(0, len(which), step):
@@ -174,6 +178,38 @@ class Model:
                     out[i] = ids
         return out
 
+    def _long(self, word: str) -> np.ndarray:
+        """The ids of one very long word: all its substrings are looked up at once, then the positions follow each other."""
+        chars = np.frombuffer(word.encode("utf-32-le"), np.uint32).tolist()
+        prefix, h, base = [0], 0, int(BASE)
+        for c in chars:
+            h = (h * base + c + 1) & 0xFFFFFFFFFFFFFFFF
+            prefix.append(h)
+        hashes, n = np.array(prefix, np.uint64), len(chars)
+        options: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        with np.errstate(over="ignore"):
+            for size in range(1, min(self.longest, n) + 1):
+                piece = self.find(hashes[size:] - hashes[:-size] * self.power[size])
+                for start in np.flatnonzero(piece != NONE).tolist():
+                    options[start + size].append((size, int(piece[start])))
+        last, back, known = [-1] * (n + 1), [1] * (n + 1), {}
+        for end in range(1, n + 1):
+            for size, piece in options[end]:
+                before = last[end - size]
+                if not self.reached[piece]:
+                    continue
+                if end > size and before >= 0:
+                    if (before, piece) not in known:
+                        known[before, piece] = bool(self._decide(np.array([before]), np.array([piece]))[0])
+                    if not known[before, piece]:
+                        continue
+                last[end], back[end] = piece, size
+        out, end = [], n
+        while end:
+            out.append([int(self.ids[last[end]])] if last[end] >= 0 else self.bytes_of[list(word[end - 1].encode())].tolist())
+            end -= back[end]
+        return np.array([x for ids in reversed(out) for x in ids], np.int64)
+
     def _equal(self, words: list[str], n: int) -> list[np.ndarray]:
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
         rows = np.arange(len(words))
