@@ -76,3 +76,16 @@ def test_odd_tables(messy, empty):
     got = L.scan(messy, F.concat_ws("/", "source", F.col("doc_id").cast("string"))).collect()
     assert len(got) == 13 and {r.license for r in got} == {None}
     assert L.scan(empty, F.lit("x")).count() == 0
+
+
+def test_common_words_beside_a_statement_weigh_little(docs):
+    texts = [f"en prosa {i} por la casa" for i in range(400)] + ["en Released under the MIT License en", "por en la All rights reserved", "Released under the MIT License zzq"]
+    got = {r.doc_id: (r.license, r.score) for r in L.scan(docs(texts), F.lit("a/b")).collect()}
+    df = Counter(t for x in texts for t in set(L.terms(x)))
+    idf = lambda t: math.log((len(texts) + 1) / (df[t] + 1)) + 1
+    for i, template in ((400, "Released under the MIT License."), (401, "All rights reserved."), (402, "Released under the MIT License.")):
+        tf, v = Counter(L.terms(texts[i])), Counter(L.terms(template))
+        norm = lambda x: math.sqrt(sum((k * idf(t)) ** 2 for t, k in x.items()))
+        want = sum(tf[t] * k * idf(t) ** 2 for t, k in v.items()) / norm(tf) / norm(v)
+        assert want >= L.THRESHOLD and got[i][1] == pytest.approx(want, abs=1e-6)
+    assert (got[400][0], got[401][0], got[402][0], got[0][0]) == ("MIT", "Proprietary", "MIT", None)

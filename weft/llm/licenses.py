@@ -1,13 +1,14 @@
 """License scans: sparse TF-IDF cosines of headers and licence files to templates, and inheritance along directories.
 
 Every sentence of a text is a header that may state a licence; a text as a whole may be a licence file.
-Both are sparse TF-IDF vectors, compared by cosine with the templates. Document frequencies of the
-templates' terms are counted over all texts. A file without a statement of its own inherits from the
+Both are sparse TF-IDF vectors, compared by cosine with the templates. Document frequencies of all
+terms are counted over all texts, in one table. A file without a statement of its own inherits from the
 nearest directory above it that holds a licence file: paths are joined with their ancestors.
 
 Only sentences with an anchor are scored: the rarest terms of each template, as many as are needed
 that the other terms alone can't reach the threshold (by Cauchy-Schwarz their cosine is at most their
-share of the template's norm). So no match is lost, and scoring is a projection without a shuffle.
+share of the template's norm). Terms outside the templates are first taken to weigh 1, the least that a term
+can; only the bags that reach the threshold so have their other terms looked up in the table. So no match is lost.
 The templates are a fixed table of this module; their weights go into the plan as literals.
 """
 
@@ -21,6 +22,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.session import materialize
+
 #: Licence statements as they stand in headers and notices: (SPDX id, sentence).
 HEADERS = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -57,6 +60,8 @@ FILE_THRESHOLD = 0.6
 #: File names that hold the licence of their directory whatever they say otherwise.
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.(md|txt|rst))?$"
 TERM = "[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
+#: Rows of the table of frequencies up to which the asked part is broadcast.
+BROADCAST_TERMS = 200_000
 BREAK = "\\n|(?<=[.!?;])[\\x20\\t]+"
 
 Template = tuple[str, str, dict[str, float]]
@@ -71,11 +76,9 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """The number of texts, and in how many of them each term of the (fixed) vocabulary stands."""
-    hits = docs.select(F.explode_outer(F.array_intersect(F.array_append(_words(F.col("text")), F.lit(" n")), F.array(*map(F.lit, [*vocabulary, " n"])))).alias("term"))
-    found = {r.term: r["count"] for r in hits.groupBy("term").count().collect()}  # a row for each term of the templates
-    return found.pop(" n", 0), found
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """``(term, df)``: in how many texts each term stands; the number of rows is that of the term " n"."""
+    return docs.select(F.explode(F.array_append(F.array_distinct(F.coalesce(_words(F.col("text")), F.array().cast("array<string>"))), F.lit(" n"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def weigh(templates: tuple[tuple[str, str], ...], n: int, df: dict[str, int]) -> tuple[dict[str, float], list[Template]]:
@@ -102,38 +105,64 @@ def anchors(templates: list[Template], threshold: float) -> list[str]:
     return sorted(out)
 
 
-def _scored(rows: DataFrame, bags: str, templates: list[Template], idf: dict[str, float], rare: float, out: str) -> DataFrame:
-    """``rows`` with ``out``: the best (score, minus the template's number) over the bags of terms in the array column ``bags``.
+def _bounded(rows: DataFrame, bags: str, templates: list[Template], idf: dict[str, float], threshold: float) -> DataFrame:
+    """``rows`` with the bags of terms in the array column ``bags`` that may reach the threshold, as structs of
+    ``dots`` (products with the templates), ``known`` (squared norm of the templates' terms) and ``others`` (t, k: the other terms).
 
-    Terms outside the templates weigh as terms that no text holds; repeated ones of them count as different. Each
-    step is a column of its own, so that the plan stays as small as the work; the weights are one literal."""
+    Each other term counts for its least weight, 1, at first. Each step is a column of its own, so that the plan
+    stays as small as the work; the weights are one literal."""
     weights = {t: {"i": idf[t], "w": [v.get(t, 0.0) for _, _, v in templates]} for _, _, vector in templates for t in vector}
     table = F.from_json(F.lit(json.dumps(weights)), "map<string, struct<i: double, w: array<double>>>")
     terms_of = F.array(*map(F.lit, sorted(weights)))
-    known = F.transform(bags, lambda w: F.struct(F.size(w).alias("n"), F.transform(F.array_intersect(w, terms_of), lambda t: F.struct(t.alias("t"), F.size(F.filter(w, lambda x: x == t)).alias("k"))).alias("b")))
+    count = lambda w, t: F.size(F.filter(w, lambda x: x == t))
+    known = F.transform(bags, lambda w: F.struct(w.alias("w"), F.transform(F.array_intersect(w, terms_of), lambda t: F.struct(t.alias("t"), count(w, t).alias("k"))).alias("b")))
     rows = rows.withColumn("_known", known)
-    weighed = F.transform("_known", lambda x: F.struct(x.n.alias("n"), F.transform(x.b, lambda y: F.struct(y.k.alias("k"), table[y.t].alias("v"))).alias("b")))
+    weighed = F.transform("_known", lambda x: F.struct(x.w.alias("w"), F.transform(x.b, lambda y: F.struct(y.k.alias("k"), table[y.t].alias("v"))).alias("b")))
     rows = rows.withColumn("_weighed", weighed)
-    strange = lambda x: x.n - F.aggregate(x.b, F.lit(0), lambda s, y: s + y.k)
-    norm2 = lambda x: F.aggregate(x.b, strange(x) * F.lit(rare * rare), lambda s, y: s + y.k * y.k * y.v.i * y.v.i)
+    strange = lambda x: F.size(x.w) - F.aggregate(x.b, F.lit(0), lambda s, y: s + y.k)
+    norm2 = lambda x: F.aggregate(x.b, F.lit(0.0), lambda s, y: s + y.k * y.k * y.v.i * y.v.i)
     dots = lambda x: F.aggregate(x.b, F.array_repeat(F.lit(0.0), len(templates)), lambda s, y: F.zip_with(s, y.v.w, lambda p, q: p + q * y.k * y.v.i))
-    rows = rows.withColumn("_summed", F.transform("_weighed", lambda x: F.struct(F.sqrt(norm2(x)).alias("norm"), dots(x).alias("dots"))))
-    best = F.transform("_summed", lambda x: F.array_max(F.transform(x.dots, lambda d, i: F.struct(F.round(d / x.norm, 9).alias("score"), (-i).alias("template")))))
-    return rows.withColumn(out, F.array_max(best)).drop("_known", "_weighed", "_summed")
+    rows = rows.withColumn("_summed", F.transform("_weighed", lambda x: F.struct(x.w.alias("w"), strange(x).alias("n"), norm2(x).alias("known"), dots(x).alias("dots"))))
+    rows = rows.withColumn("_left", F.filter("_summed", lambda x: F.array_max(x.dots) >= (threshold - 1e-6) * F.sqrt(x.known + x.n)))
+    others = lambda w: F.transform(F.array_except(w, terms_of), lambda t: F.struct(t.alias("t"), count(w, t).alias("k")))
+    kept = F.transform("_left", lambda x: F.struct(x.dots.alias("dots"), x.known.alias("known"), others(x.w).alias("others")))
+    return rows.withColumn(bags, F.coalesce(kept, F.array().cast("array<struct<dots: array<double>, known: double, others: array<struct<t: string, k: int>>>>"))).drop("_known", "_weighed", "_summed", "_left")
+
+
+def _best(found: DataFrame, bags: dict[str, str], frequencies: DataFrame, n: int) -> DataFrame:
+    """``row`` and for each of ``bags`` (column of ``_bounded``, name of the result) the best (score, minus the template's number)."""
+    each = [found.select("row", F.lit(out).alias("kind"), F.posexplode(c).alias("pos", "bag")) for c, out in bags.items()]
+    bag = each[0]
+    for more in each[1:]:
+        bag = bag.unionByName(more)
+    terms_of = bag.select("row", "kind", "pos", F.explode("bag.others").alias("x")).select("row", "kind", "pos", F.col("x.t").alias("term"), F.col("x.k").alias("k"))
+    asked = frequencies.join(terms_of.select("term").distinct(), "term", "left_semi")
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
+    idf = F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    norms = terms_of.join(asked, "term", "left").groupBy("row", "kind", "pos").agg(F.sum(F.col("k") * F.col("k") * idf * idf).alias("strange"))
+    scored = bag.join(norms, ["row", "kind", "pos"], "left").withColumn("norm", F.sqrt(F.col("bag.known") + F.coalesce("strange", F.lit(0.0))))
+    best = F.array_max(F.transform("bag.dots", lambda d, i: F.struct(F.round(d / F.col("norm"), 9).alias("score"), (-i).alias("template"))))
+    return scored.groupBy("row").agg(*[F.max(F.when(F.col("kind") == out, best)).alias(out) for out in bags.values()])
 
 
 def own_licenses(docs: DataFrame, headers: tuple[tuple[str, str], ...] = HEADERS, files: tuple[tuple[str, str], ...] = FILES, threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD) -> DataFrame:
     """``doc_id, path, header, header_score, file, file_score``: the best statement in each text and its likeness to a licence file."""
-    n, df = document_frequencies(docs, sorted({t for _, text in (*headers, *files) for t in terms(text)}))
+    frequencies = materialize(document_frequencies(docs), "df")
+    wanted = sorted({t for _, text in (*headers, *files) for t in terms(text)} | {" n"})
+    df = {r.term: r.df for r in frequencies.where(F.col("term").isin(wanted)).collect()}  # a row for each term of the templates
+    n = df.pop(" n", 0)
     idf, vectors = weigh((*headers, *files), n, df)
-    rare = math.log(n + 1) + 1
     of_headers, of_files = vectors[: len(headers)], vectors[len(headers) :]
     marks = F.array(*map(F.lit, anchors(of_headers, threshold)))
     file_marks = F.array(*map(F.lit, anchors(of_files, file_threshold)))
     rows = docs.withColumn("_sentences", F.transform(F.split("text", BREAK), _words))
     rows = rows.withColumn("_whole", F.flatten("_sentences"))
     rows = rows.select("doc_id", "path", F.filter("_sentences", lambda w: F.arrays_overlap(w, marks)).alias("_headers"), F.when(F.arrays_overlap("_whole", file_marks), F.array("_whole")).alias("_files"))
-    rows = _scored(_scored(rows, "_headers", of_headers, idf, rare, "h"), "_files", of_files, idf, rare, "f")
+    rows = _bounded(_bounded(rows, "_headers", of_headers, idf, threshold), "_files", of_files, idf, file_threshold)
+    found = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "bags")  # numbered once, as it's written
+    best = _best(found, {"_headers": "h", "_files": "f"}, frequencies, n)
+    rows = found.select("row", "doc_id", "path").join(best, "row", "left")
     names = F.array(*[F.lit(x) for x, _ in headers])
     file_names = F.array(*[F.lit(x) for x, _ in files])
     header = F.when(F.col("h.score") >= threshold, F.get(names, -F.col("h.template")))
