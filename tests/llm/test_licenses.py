@@ -89,3 +89,17 @@ def test_common_words_beside_a_statement_weigh_little(docs):
         want = sum(tf[t] * k * idf(t) ** 2 for t, k in v.items()) / norm(tf) / norm(v)
         assert want >= L.THRESHOLD and got[i][1] == pytest.approx(want, abs=1e-6)
     assert (got[400][0], got[401][0], got[402][0], got[0][0]) == ("MIT", "Proprietary", "MIT", None)
+
+
+def test_wrapped_statements_count(spark):
+    wrapped = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    rows = [
+        ("a/LICENSE", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + "prose of a long licence text\n" * 50 + "\n".join(wrapped) + "\nThe end of it."),
+        ("a/b.py", "code"),
+        ("c/d.c", "int x;\n/*\n" + "\n".join(f" * {x}" for x in wrapped) + "\n */\nint y;"),
+        ("c/e.py", "\n".join(f"# {x}" for x in "Released under\nthe\nMIT License.".split("\n"))),
+        ("c/f.py", "it was released\nlast week and the program\nis under review"),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in L.scan(df, F.col("path")).collect()}
+    assert got == {0: ("GPL-3.0", "header"), 1: ("GPL-3.0", "inherited"), 2: ("GPL-3.0", "header"), 3: ("MIT", "header"), 4: (None, None)}

@@ -1,11 +1,12 @@
 """License scans: sparse TF-IDF cosines of headers and licence files to templates, and inheritance along directories.
 
-Every sentence of a text is a header that may state a licence; a text as a whole may be a licence file.
+Every sentence of a text, and every run of neighbouring sentences and lines (wrapped statements; comment marks are
+no terms), is a header that may state a licence; a text as a whole may be a licence file.
 Both are sparse TF-IDF vectors, compared by cosine with the templates. Document frequencies of all
 terms are counted over all texts, in one table. A file without a statement of its own inherits from the
 nearest directory above it that holds a licence file: paths are joined with their ancestors.
 
-Only sentences with an anchor are scored: the rarest terms of each template, as many as are needed
+Only runs with an anchor are scored: the rarest terms of each template, as many as are needed
 that the other terms alone can't reach the threshold (by Cauchy-Schwarz their cosine is at most their
 share of the template's norm). Terms outside the templates are first taken to weigh 1, the least that a term
 can; only the bags that reach the threshold so have their other terms looked up in the table. So no match is lost.
@@ -105,17 +106,14 @@ def anchors(templates: list[Template], threshold: float) -> list[str]:
     return sorted(out)
 
 
-def _bounded(rows: DataFrame, bags: str, templates: list[Template], idf: dict[str, float], threshold: float) -> DataFrame:
-    """``rows`` with the bags of terms in the array column ``bags`` that may reach the threshold, as structs of
-    ``dots`` (products with the templates), ``known`` (squared norm of the templates' terms) and ``others`` (t, k: the other terms).
+def _summed(rows: DataFrame, bags: str, templates: list[Template], idf: dict[str, float]) -> DataFrame:
+    """``rows`` with ``_summed``: for each bag ``w`` of terms in the array column ``bags`` a struct of ``w``, ``n`` (its terms
+    outside the templates), ``known`` (squared norm of the others) and ``dots`` (products with the templates).
 
-    Each other term counts for its least weight, 1, at first. Each step is a column of its own, so that the plan
-    stays as small as the work; the weights are one literal."""
+    Each step is a column of its own, so that the plan stays as small as the work; the weights are one literal."""
     weights = {t: {"i": idf[t], "w": [v.get(t, 0.0) for _, _, v in templates]} for _, _, vector in templates for t in vector}
     table = F.from_json(F.lit(json.dumps(weights)), "map<string, struct<i: double, w: array<double>>>")
-    terms_of = F.array(*map(F.lit, sorted(weights)))
-    count = lambda w, t: F.size(F.filter(w, lambda x: x == t))
-    known = F.transform(bags, lambda w: F.struct(w.alias("w"), F.transform(F.array_intersect(w, terms_of), lambda t: F.struct(t.alias("t"), count(w, t).alias("k"))).alias("b")))
+    known = F.transform(bags, lambda w: F.struct(w.alias("w"), F.transform(F.array_intersect(w, _vocabulary(templates)), lambda t: F.struct(t.alias("t"), _count(w, t).alias("k"))).alias("b")))
     rows = rows.withColumn("_known", known)
     weighed = F.transform("_known", lambda x: F.struct(x.w.alias("w"), F.transform(x.b, lambda y: F.struct(y.k.alias("k"), table[y.t].alias("v"))).alias("b")))
     rows = rows.withColumn("_weighed", weighed)
@@ -123,10 +121,53 @@ def _bounded(rows: DataFrame, bags: str, templates: list[Template], idf: dict[st
     norm2 = lambda x: F.aggregate(x.b, F.lit(0.0), lambda s, y: s + y.k * y.k * y.v.i * y.v.i)
     dots = lambda x: F.aggregate(x.b, F.array_repeat(F.lit(0.0), len(templates)), lambda s, y: F.zip_with(s, y.v.w, lambda p, q: p + q * y.k * y.v.i))
     rows = rows.withColumn("_summed", F.transform("_weighed", lambda x: F.struct(x.w.alias("w"), strange(x).alias("n"), norm2(x).alias("known"), dots(x).alias("dots"))))
+    return rows.drop("_known", "_weighed")
+
+
+def _vocabulary(templates: list[Template]) -> Column:
+    return F.array(*map(F.lit, sorted({t for _, _, vector in templates for t in vector})))
+
+
+def _count(bag: Column, term: Column) -> Column:
+    return F.size(F.filter(bag, lambda x: x == term))
+
+
+def _windows(rows: DataFrame, pieces: str, marks: Column, templates: list[Template], idf: dict[str, float], threshold: float, out: str) -> DataFrame:
+    """``rows`` with ``out``: the bags of all runs of neighbouring bags in ``pieces`` that may reach the threshold.
+
+    A shortest run with a statement has a term of it in every piece, so no run needs more pieces than the longest
+    template has terms; and it holds an anchor. Products add up over pieces, and squared norms of a run are at least
+    the sum of its pieces', each term outside the templates at its least weight, 1."""
+    most = max(len(terms(text)) for _, text, _ in templates)
+    rows = rows.withColumn("_at", F.filter(F.transform(pieces, lambda w, i: F.when(F.arrays_overlap(w, marks), i)), lambda i: i.isNotNull()))
+    near = F.transform(pieces, lambda w, i: F.when(F.exists("_at", lambda a: F.abs(a - i) < most), w).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_near", F.when(F.size("_at") > 0, near))
+    rows = _summed(rows, "_near", templates, idf).withColumn("_light", F.transform("_summed", lambda x: F.struct(x.dots.alias("dots"), (x.known + x.n).alias("norm2"))))
+    zero = F.struct(F.array_repeat(F.lit(0.0), len(templates)).alias("dots"), F.lit(0.0).alias("norm2"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("hits"))
+
+    def add(s: Column, x: Column) -> Column:
+        return F.struct(F.zip_with(s.dots, x.dots, lambda p, q: p + q).alias("dots"), (s.norm2 + x.norm2).alias("norm2"), (s.n + 1).alias("n"), F.when(s.n > 0, F.when(F.array_max(s.dots) >= (threshold - 1e-6) * F.sqrt(s.norm2), F.array_append(s.hits, s.n)).otherwise(s.hits)).otherwise(s.hits).alias("hits"))
+
+    def last(s: Column) -> Column:
+        return F.when(F.array_max(s.dots) >= (threshold - 1e-6) * F.sqrt(s.norm2), F.array_append(s.hits, s.n)).otherwise(s.hits)
+
+    starts = F.filter(F.transform("_light", lambda x, i: F.when((F.array_max(x.dots) > 0) & F.exists("_at", lambda a: (a >= i) & (a < i + most)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_starts", starts)
+    rows = rows.withColumn("_runs", F.transform("_starts", lambda i: F.struct(i.alias("i"), F.aggregate(F.slice("_light", i + 1, F.lit(most)), zero, add, last).alias("n"))))
+    rows = rows.withColumn(out, F.flatten(F.transform("_runs", lambda r: F.transform(r.n, lambda k: F.flatten(F.slice("_near", r.i + 1, k))))))
+    return rows.drop("_at", "_near", "_summed", "_light", "_starts", "_runs")
+
+
+def _bounded(rows: DataFrame, bags: str, templates: list[Template], idf: dict[str, float], threshold: float) -> DataFrame:
+    """``rows`` with the bags of terms in the array column ``bags`` that may reach the threshold, as structs of
+    ``dots`` (products with the templates), ``known`` (squared norm of the templates' terms) and ``others`` (t, k: the other terms).
+
+    Each other term counts for its least weight, 1, at first."""
+    rows = _summed(rows, bags, templates, idf)
     rows = rows.withColumn("_left", F.filter("_summed", lambda x: F.array_max(x.dots) >= (threshold - 1e-6) * F.sqrt(x.known + x.n)))
-    others = lambda w: F.transform(F.array_except(w, terms_of), lambda t: F.struct(t.alias("t"), count(w, t).alias("k")))
+    others = lambda w: F.transform(F.array_except(w, _vocabulary(templates)), lambda t: F.struct(t.alias("t"), _count(w, t).alias("k")))
     kept = F.transform("_left", lambda x: F.struct(x.dots.alias("dots"), x.known.alias("known"), others(x.w).alias("others")))
-    return rows.withColumn(bags, F.coalesce(kept, F.array().cast("array<struct<dots: array<double>, known: double, others: array<struct<t: string, k: int>>>>"))).drop("_known", "_weighed", "_summed", "_left")
+    return rows.withColumn(bags, F.coalesce(kept, F.array().cast("array<struct<dots: array<double>, known: double, others: array<struct<t: string, k: int>>>>"))).drop("_summed", "_left")
 
 
 def _best(found: DataFrame, bags: dict[str, str], frequencies: DataFrame, n: int) -> DataFrame:
@@ -156,9 +197,10 @@ def own_licenses(docs: DataFrame, headers: tuple[tuple[str, str], ...] = HEADERS
     of_headers, of_files = vectors[: len(headers)], vectors[len(headers) :]
     marks = F.array(*map(F.lit, anchors(of_headers, threshold)))
     file_marks = F.array(*map(F.lit, anchors(of_files, file_threshold)))
-    rows = docs.withColumn("_sentences", F.transform(F.split("text", BREAK), _words))
-    rows = rows.withColumn("_whole", F.flatten("_sentences"))
-    rows = rows.select("doc_id", "path", F.filter("_sentences", lambda w: F.arrays_overlap(w, marks)).alias("_headers"), F.when(F.arrays_overlap("_whole", file_marks), F.array("_whole")).alias("_files"))
+    rows = docs.withColumn("_split", F.transform(F.split("text", BREAK), _words))
+    rows = rows.withColumn("_sentences", F.filter("_split", lambda w: F.size(w) > 0)).withColumn("_whole", F.flatten("_sentences"))
+    rows = rows.select("doc_id", "path", F.when(F.arrays_overlap("_whole", marks), F.col("_sentences")).alias("_sentences"), F.when(F.arrays_overlap("_whole", file_marks), F.array("_whole")).alias("_files"))
+    rows = _windows(rows, "_sentences", marks, of_headers, idf, threshold, "_headers").drop("_sentences")
     rows = _bounded(_bounded(rows, "_headers", of_headers, idf, threshold), "_files", of_files, idf, file_threshold)
     found = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "bags")  # numbered once, as it's written
     best = _best(found, {"_headers": "h", "_files": "f"}, frequencies, n)
