@@ -218,3 +218,15 @@ def test_pages(spark):
     assert P.move_source(pages, "in/x.pdf", "out/x.pdf", known).first().sources == ["out/x.pdf", "y"]
     assert P.move_source(pages, "in/x.pdf", "out/x.pdf", known.union(spark.createDataFrame([("o/X.pdf",)], "path string"))).first().sources == ["out/x.pdf", "x.pdf", "y"]
     assert spark.range(1).select(P.answer_title(F.lit("<think>a\nb</think>\n<!-- c -->\n## Title here\nx"))).first()[0] == "Title here"
+
+
+def test_louvain_covers_all_links(spark):
+    from weft.plans import graph_queries
+    from weft.plans.common import edges
+
+    sf = "/root/testdata/sf0.01"
+    e = edges(spark, sf)
+    ends = {x for r in e.collect() for x in (r.src, r.dst)}
+    got = {r.id: r.community for r in graph_queries.louvain(spark, sf).collect()}
+    assert got.keys() == ends and len(ends) > 1_000
+    assert set(got.values()) <= ends

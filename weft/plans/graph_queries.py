@@ -152,8 +152,8 @@ SELECT id, min(r) AS component FROM reach GROUP BY 1"""
 
 
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the links of weight three and more by modularity."""
-    return G.louvain(edges(spark, sf_dir).where("weight >= 3"))
+    """Communities of all links by modularity."""
+    return G.louvain(edges(spark, sf_dir))
 
 
 def backlinks_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
