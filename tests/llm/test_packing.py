@@ -62,3 +62,18 @@ def test_odd_tables(messy, empty, spark):
     check(rows, 65_536)
     assert pack(empty).count() == 0
     assert spark.range(1).select(word_count(F.lit(" a\tb\n c ")).alias("n")).first().n == 3
+
+
+def test_query_counts_tokens(spark):
+    import public_tokenizers
+
+    from weft.llm import pieces, queries
+    from weft.session import table
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    want = {r.doc_id: r.n_pieces for r in pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).collect()}
+    rows = queries.op5_packing(spark, sf).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == want
+    assert sum(want.values()) > sum(len((r.text or "").split()) for r in docs.collect())
+    check(rows, 65_536)
