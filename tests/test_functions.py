@@ -204,3 +204,16 @@ def test_html(spark):
     assert html.markdown(html.article("")) == "" and html.markdown(html.article("plain")) == "plain"
     assert value(spark, html.fallback_text(F.lit("<p>a &amp; b</p><style>x</style><br> c"))) == "a & b\nc"
     assert value(spark, html.truncated(F.lit("abc"), 2)).startswith("ab\n") and value(spark, html.readable(F.lit("<p>x</p>"))) == "x"
+
+
+def test_review_ids_see_whole_passages(spark, tmp_path):
+    from weft.plans import corpus_queries
+
+    same = "The same forty characters and more of a passage, then "
+    spark.createDataFrame([(1, same + "one end"), (2, same + "another end")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    ids = {r.item_id: r.review_id for r in corpus_queries.review_ids(spark, str(tmp_path)).collect()}
+    assert ids.keys() == {1, 2} and ids[1] != ids[2]
+    h = 0x811C9DC5
+    for c in ("missing-page::" + same + "one end").lower():
+        h = (h ^ ord(c)) * 0x01000193 % 2**32
+    assert ids[1] == f"review-{h:08x}"
