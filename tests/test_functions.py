@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,8 +94,11 @@ def test_languages(spark):
 
 
 def test_categories(spark):
-    for path, want in {"a/b.MD": "markdown", "x.pdf": "pdf", "Dockerfile": "code", "a.b/c": "unknown"}.items():
+    for path, want in {"a/b.MD": "markdown", "x.pdf": "pdf", "Dockerfile": "code", "a.b/c": "code", "a.b/cc": "unknown", "a\\b.Kt": "code", "x.rtf": "text", "x.xlsx": "document", "x.tar.jsonl": "data", "x.svg": "code", ".md": "markdown"}.items():
         assert value(spark, files.category(F.lit(path))) == want
+    for path, want in {"a/b.MD": True, "a/.b.md": False, "raw/.cache/b.md": False, "b.py": False, "b.xls": True, "b": False, ".git/b.md": True}.items():
+        assert value(spark, files.ingestable(F.lit(path))) is want
+    assert [value(spark, files.code_language(F.lit(p))) for p in ("a.py", "a.yml", "a.lua", "x/B.TSX")] == ["python", "yaml", "lua", "typescript"]
     names = ["p10", "p2", "P1"]
     assert [r.v for r in spark.createDataFrame([(n,) for n in names], "v string").orderBy(files.natural_key(F.col("v"))).collect()] == ["P1", "p2", "p10"]
 
@@ -201,6 +205,9 @@ def test_html(spark):
     got = html.markdown(html.article(page))
     assert "**bold**" in got and "[link](u)" in got and "- one\n- two" in got and "| 1\\|2 |" in got and "```\ncode\n x\n```" in got
     assert "home" not in got and "side" not in got and "s.png" not in got
+    began = time.time()
+    deep = html.markdown(html.article("<p>" + "<b><i><a href='u'>" * 200 + "x"))
+    assert "x" in deep and time.time() - began < 1
     assert html.markdown(html.article("")) == "" and html.markdown(html.article("plain")) == "plain"
     assert value(spark, html.fallback_text(F.lit("<p>a &amp; b</p><style>x</style><br> c"))) == "a & b\nc"
     assert value(spark, html.truncated(F.lit("abc"), 2)).startswith("ab\n") and value(spark, html.readable(F.lit("<p>x</p>"))) == "x"

@@ -5,36 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Extensions of each category.
-CATEGORIES = {
-    "markdown": ["md", "mdx", "markdown"],
-    "pdf": ["pdf"],
-    "document": ["doc", "docx", "odt", "rtf", "pptx", "ppt", "odp", "org", "epub", "mobi"],
-    "data": ["xlsx", "xls", "ods", "csv", "tsv", "json", "yaml", "yml", "toml", "xml"],
-    "image": ["png", "jpg", "jpeg", "gif", "webp", "svg", "bmp", "ico"],
-    "video": ["mp4", "webm", "mov", "avi", "mkv"],
-    "audio": ["mp3", "wav", "ogg", "flac", "m4a"],
-    "code": ["py", "rs", "ts", "tsx", "js", "jsx", "go", "java", "c", "h", "cpp", "sh", "sql", "rb", "php", "html", "css"],
-    "text": ["txt", "log"],
-}
-INGESTABLE = ("markdown", "pdf", "document", "data", "text")
-BY_NAME = {"dockerfile": "code", "makefile": "code", "readme": "text", "license": "text"}
+# The category of each extension, or of a whole name without a dot.
+EXTENSIONS = {
+    "md": "markdown", "mdx": "markdown",
+    "txt": "text", "rtf": "text", "log": "text",
+    "js": "code", "jsx": "code", "ts": "code", "tsx": "code", "py": "code", "rs": "code", "go": "code", "java": "code", "c": "code", "cpp": "code", "h": "code", "hpp": "code",
+    "rb": "code", "php": "code", "swift": "code", "kt": "code", "scala": "code", "sh": "code", "bash": "code", "zsh": "code", "sql": "code", "r": "code", "lua": "code",
+    "css": "code", "scss": "code", "less": "code", "html": "code", "htm": "code", "xml": "code", "svg": "code", "vue": "code", "svelte": "code",
+    "toml": "code", "ini": "code", "cfg": "code", "conf": "code", "dockerfile": "code", "makefile": "code",
+    "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "webp": "image", "bmp": "image", "ico": "image", "tiff": "image", "tif": "image", "avif": "image", "heic": "image", "heif": "image",
+    "mp4": "video", "webm": "video", "mov": "video", "avi": "video", "mkv": "video", "flv": "video", "wmv": "video", "m4v": "video",
+    "mp3": "audio", "wav": "audio", "ogg": "audio", "flac": "audio", "aac": "audio", "m4a": "audio", "wma": "audio",
+    "mmd": "code", "mermaid": "code",
+    "pdf": "pdf",
+    "doc": "document", "docx": "document", "xls": "document", "xlsx": "document", "ppt": "document", "pptx": "document", "odt": "document", "ods": "document", "odp": "document",
+    "pages": "document", "numbers": "document", "key": "document", "epub": "document", "mobi": "document", "org": "document",
+    "json": "data", "jsonl": "data", "csv": "data", "tsv": "data", "yaml": "data", "yml": "data", "ndjson": "data",
+}
+# The language of a source file's extension, where it isn't the extension itself.
+LANGUAGES = {
+    "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "rs": "rust", "rb": "ruby",
+    "htm": "html", "yml": "yaml", "mmd": "mermaid", "sh": "bash",
+}
+READABLE = ("markdown", "text", "code", "data")
+# The extensions of sources that are taken in.
+INGESTABLE = (
+    "md", "mdx", "txt", "pdf", "doc", "docx", "pptx", "xlsx", "odt", "odp", "ods", "xls", "csv", "json", "html", "htm", "rtf", "xml", "yaml", "yml", "epub", "mobi", "org",
+)
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+
+
+def extension(path: Column) -> Column:
+    """The lower-case extension of a path's last part, empty without a dot; either slash parts a path."""
+    name = F.element_at(F.split(path, r"[\\/]"), -1)
+    return F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise("")
 
 
 def category(path: Column) -> Column:
-    """The category of a path by its extension, else by its name, else ``unknown``."""
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    out = F.when(F.lit(False), "")
-    for kind, extensions in CATEGORIES.items():
-        out = out.when(F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*extensions), kind)
-    for own, kind in BY_NAME.items():
-        out = out.when(name == own, kind)
-    return out.otherwise("unknown")
+    """The category of a path by its extension, or by its whole name where that has no dot, else ``unknown``."""
+    name = F.lower(F.element_at(F.split(path, r"[\\/]"), -1))
+    return F.coalesce(_looked_up(EXTENSIONS, F.when(F.instr(name, ".") > 0, extension(path)).otherwise(name)), F.lit("unknown"))
+
+
+def code_language(path: Column) -> Column:
+    """The language of a source file, by default its extension."""
+    ending = F.lower(F.substring_index(path, ".", -1))
+    return F.coalesce(_looked_up(LANGUAGES, ending), ending)
+
+
+def readable_as_text(path: Column) -> Column:
+    return category(path).isin(*READABLE)
 
 
 def ingestable(path: Column) -> Column:
-    """A file of a category that can be read as text, not hidden and not a derived cache."""
-    return category(path).isin(*INGESTABLE) & ~path.rlike(r"(^|/)\.[^/]")
+    """A source of a kind that is taken in, not hidden and not in a derived cache."""
+    parts = F.split(path, r"[\\/]")
+    return extension(path).isin(*INGESTABLE) & ~F.array_contains(parts, ".cache") & ~F.element_at(parts, -1).startswith(".")
 
 
 def natural_key(text: Column) -> Column:

@@ -136,10 +136,13 @@ def markdown(node: Node) -> str:
             return ""
         if re.fullmatch("h[1-6]", n.tag):
             return f"\n\n{'#' * int(n.tag[1])} {inner(n).strip()}\n\n"
-        if n.tag in ("strong", "b") and inner(n).strip():
-            return f"**{inner(n).strip()}**"
-        if n.tag in ("em", "i") and inner(n).strip():
-            return f"_{inner(n).strip()}_"
+        mark = {"strong": "**", "b": "**", "em": "_", "i": "_"}.get(n.tag)
+        if mark or (n.tag == "a" and n.attrs.get("href")):
+            whole = inner(n)  # once: nested tags would double the work at each level
+            held = whole.strip()
+            if not held:
+                return whole
+            return f"{mark}{held}{mark}" if mark else f"[{held}]({n.attrs['href']})"
         if n.tag == "br":
             return "  \n"
         if n.tag == "hr":
@@ -147,8 +150,6 @@ def markdown(node: Node) -> str:
         if n.tag == "img":
             small = any(v.isdigit() and int(v) < 30 for v in (n.attrs.get("width", ""), n.attrs.get("height", "")))
             return "" if small or not n.attrs.get("src") else f"![{n.attrs.get('alt', '')}]({n.attrs['src']})"
-        if n.tag == "a" and n.attrs.get("href") and inner(n).strip():
-            return f"[{inner(n).strip()}]({n.attrs['href']})"
         if n.tag == "pre":
             return f"\n\n```\n{n.text().strip(chr(10))}\n```\n\n"
         if n.tag == "code":

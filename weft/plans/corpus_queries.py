@@ -283,12 +283,15 @@ def category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files named after pages by the category of their extension."""
     from weft.functions.files import category
 
-    ending = F.element_at(F.array(*map(F.lit, (".md", ".pdf", ".png", ".py", ""))), (F.col("page_id") % 5 + 1).cast("int"))
-    path = F.concat(F.lit("raw/sources/p"), "page_id", ending)
+    ending = F.element_at(F.array(*map(F.lit, CATEGORY_ENDINGS)), (F.col("page_id") % len(CATEGORY_ENDINGS) + 1).cast("int"))
+    path = F.concat(F.lit("raw/sources/p.q/"), F.when(ending.startswith("."), F.concat(F.lit("P"), F.col("page_id").cast("string"))).otherwise(""), ending)
     return table(spark, sf_dir, "pages").select(category(path).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
-CATEGORY_SQL = """SELECT CASE page_id % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' WHEN 3 THEN 'code' ELSE 'unknown' END AS category, count(*) AS n FROM pages GROUP BY 1"""
+CATEGORY_ENDINGS = (".md", ".mdx", ".markdown", ".txt", ".RTF", ".py", ".kt", ".svg", ".xml", ".toml", "Dockerfile", "readme", ".png", ".heic", ".mkv", ".m4a", ".wma", ".mmd", ".pdf", ".xlsx", ".key", ".org", ".jsonl", ".yaml")
+#: The categories of the endings above, in their order, written out by hand.
+CATEGORY_SQL = """SELECT ['markdown', 'markdown', 'unknown', 'text', 'text', 'code', 'code', 'code', 'code', 'code', 'code', 'unknown', 'image', 'image', 'video', 'audio', 'audio', 'code', 'pdf',
+    'document', 'document', 'document', 'data', 'data'][page_id % 24 + 1] AS category, count(*) AS n FROM pages GROUP BY 1"""
 
 
 def watch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_own_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "weft") -> SparkSession:
@@ -42,19 +43,29 @@ def share_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where that is unset.
+    """The folder that all executors share: spark.checkpoint.dir.
 
-    The fallback is for local sessions and tests; a cluster names its folder in the setting.
+    Only a session that runs in this one process (``local[...]``, as in tests) may go without the setting: it gets a
+    folder of its own, which goes with the process. Anything else is an error, as a machine's own folder isn't shared.
     """
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _own_folders:
+            _own_folders[context.applicationId] = tempfile.TemporaryDirectory(prefix="weft-")
+        found = "file://" + _own_folders[context.applicationId].name
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends."""
+    _written.append((spark, path))
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Cut the lineage: write the rows to the shared folder once and read them back.
 
@@ -64,7 +75,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
