@@ -4,7 +4,8 @@ Words are lower-cased, keep their letters, and are padded; a model of order four
 each letter a probability. All languages share one sorted array of n-gram hashes with a row of
 weights each: ``alpha`` (discounted share of the n-gram) and ``gamma`` (mass left to the shorter
 context). A text's cross-entropy is the mean over its letters and word ends; the lowest wins.
-A temperature and a rejection limit are calibrated on sampled documents the models didn't see.
+A temperature and a rejection limit are calibrated on sampled documents the models didn't see; a
+language without sampled letters outside the calibration part is learned from that part instead.
 
 The models are a classifier fitted on a bounded sample: about ``sample_docs`` whole documents of
 each language, drawn by a hash of the id. Executors count their words; only the counts of distinct
@@ -80,6 +81,19 @@ class Models:
     scale: float = 20.0
     limit: float = np.inf
 
+    def chances(self, flat: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        """The probability of the symbol at each of ``spots`` behind those before it, for each language."""
+        grams, contexts = _hashes(flat, spots), _hashes(flat, spots, skip_last=True)
+        p = np.full((len(spots), len(self.languages)), self.uniform)
+        for o in range(ORDER):
+            i = np.searchsorted(self.keys, grams[o]).clip(max=len(self.keys) - 1)
+            hit = (self.keys[i] == grams[o])[:, None]
+            context = contexts[o - 1] if o else np.zeros(1, np.uint64)
+            j = np.searchsorted(self.context_keys, context).clip(max=len(self.context_keys) - 1)
+            left = np.where((self.context_keys[j] == context)[:, None], self.gamma[j], 1.0)
+            p = np.where(hit, self.alpha[i], 0.0) + left * p
+        return p
+
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(letters and word ends, bits for each language) of normalised, non-empty words."""
         bits, n = np.zeros((len(words), len(self.languages))), np.zeros(len(words))
@@ -90,18 +104,7 @@ class Models:
                 size += len(words[end]) + ORDER
                 end += 1
             flat, spots, whose = _grams(words[at:end])
-            grams, contexts = _hashes(flat, spots), _hashes(flat, spots, skip_last=True)
-            p = np.full((len(spots), len(self.languages)), self.uniform)
-            for o in range(ORDER):
-                i = np.searchsorted(self.keys, grams[o]).clip(max=len(self.keys) - 1)
-                hit = (self.keys[i] == grams[o])[:, None]
-                if o == 0:
-                    left = np.broadcast_to(self.gamma[0], p.shape)
-                else:
-                    j = np.searchsorted(self.context_keys, contexts[o - 1]).clip(max=len(self.context_keys) - 1)
-                    left = np.where((self.context_keys[j] == contexts[o - 1])[:, None], self.gamma[j], 1.0)
-                p = np.where(hit, self.alpha[i], 0.0) + left * p
-            cost = -np.log2(p)
+            cost = -np.log2(self.chances(flat, spots))
             starts = np.flatnonzero(np.diff(whose, prepend=-1))
             bits[at:end] = np.add.reduceat(cost, starts, axis=0)
             n[at:end] = np.diff([*starts, len(whose)])
@@ -189,14 +192,18 @@ def fit(docs: DataFrame, train_rows: Column, sample_docs: int = SAMPLE_DOCS) ->
                 by.setdefault(lang, Counter()).update((text or b"").decode("utf-8", "replace").split())
             rows = [(lang, w, n) for lang, words in by.items() for raw, n in words.items() if (w := letters(raw))]
             if rows:
-                yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], names=["lang", "word", "n"])
+                yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], names=["key", "word", "n"])
 
     sample = _sampled(docs, train_rows, sample_docs)
-    words = sample.where("part = 0").select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    counts = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    keyed = sample.select(F.concat(F.col("part").cast("string"), "lang").alias("key"), "text")
+    words = keyed.mapInArrow(count, "key string, word string, n long")
+    counts = words.groupBy("key", "word").agg(F.sum("n").alias("n")).toPandas()
     if counts.empty:
         return None
-    models = train(counts)
+    counts["part"], counts["lang"] = counts.key.str[0].astype(int), counts.key.str[1:]
+    fitted = set(counts.lang[counts.part == 0])
+    # a language that has all its letters in the calibration part is learned from them, and calibrates nothing
+    models = train(counts[(counts.part == 0) | ~counts.lang.isin(fitted)].drop(columns=["key", "part"]))
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def entropy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +213,7 @@ def fit(docs: DataFrame, train_rows: Column, sample_docs: int = SAMPLE_DOCS) ->
             yield pa.record_batch([batch.column(0), pa.array(got.tolist(), pa.list_(pa.float64()))], names=["lang", "bits"])
 
     seen = sample.where("part = 1").select("lang", "text").mapInArrow(entropy, "lang string, bits array<double>").toPandas()
-    seen = seen[[b[0] > 0 and lang in models.languages for b, lang in zip(seen.bits, seen.lang, strict=True)]]
+    seen = seen[[b[0] > 0 and lang in fitted for b, lang in zip(seen.bits, seen.lang, strict=True)]]
     if len(seen):
         bits = np.array(seen.bits.tolist())
         h, truth = bits[:, 1:] / bits[:, :1], np.array([models.languages.index(x) for x in seen.lang])
