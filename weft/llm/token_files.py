@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.arrow import Numbered, pieces
-from weft.session import checkpoint_dir, materialize
+from weft.session import checkpoint_dir, materialize, remove_at_end
 
 MAGIC = b"WFTPLN01"
 BLOCK_IDS = 1 << 16
+#: Bytes of text that a file is made for; more text makes more files.
+FILE_BYTES = 256 << 20
 END_ID = 0
 MEMO_PIECES = 600_000
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
@@ -268,10 +270,13 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, planes:
 
     Null and empty texts are an end id alone. Documents lie in ascending order of id, null ids first,
     equal ids in an order of their text's hash; repeated rows are all kept. ``start`` is the number of
-    ids in all files before. An empty table gives an empty manifest. Extra columns are ignored.
+    ids in all files before. There's a file for each ``FILE_BYTES`` of text, and at least one for each shuffle
+    partition. An empty table gives an empty manifest. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        stored = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // FILE_BYTES))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,8 +337,10 @@ def _digest(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def output_folder(docs: DataFrame) -> str:
-    """A new folder in the storage that all executors share, with the scheme that Spark gives it."""
+    """A new folder in the storage that all executors share, with the scheme that Spark gives it; it goes when the driver ends."""
     spark = docs.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/weft-ids-{uuid.uuid4().hex}")
+    path = f"{checkpoint_dir(spark)}/weft-ids-{uuid.uuid4().hex}"
+    remove_at_end(spark, path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
