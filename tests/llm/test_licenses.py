@@ -1,4 +1,5 @@
 import math
+import os
 import re
 from collections import Counter
 
@@ -67,6 +68,34 @@ def test_nearest_directory_counts(spark):
     assert got[5] == ("MIT", "inherited", "LICENSE") and got[6] == (None, None, None)
 
 
+@pytest.mark.parametrize("few", [L.BROADCAST_FOLDERS, 0])  # 0: the way of many directories
+def test_whole_licence_texts_hold_for_their_directory(spark, monkeypatch, few):
+    monkeypatch.setattr(L, "BROADCAST_FOLDERS", few)
+    passages, files = dict(L.PASSAGES), dict(L.FILES)
+    legal = "\n\n".join(f"{i}. Terms of part {i}. You may convey a work under this section, and the work must carry prominent notices stating the day." for i in range(300))
+    wrapped = lambda text: "\n   ".join(re.findall(r".{1,60}(?:\s|$)", text))
+    texts = {"GPL-3.0": wrapped(passages["GPL-3.0"]) + "\n\nPreamble\n\n" + legal, "Apache-2.0": wrapped(passages["Apache-2.0"]) + "\n\n" + legal, "MPL-2.0": "Mozilla Public License Version 2.0\n====\n1. Definitions\n1.1. " + wrapped(passages["MPL-2.0"]) + "\n" + legal, "LGPL-3.0": legal + "\n" + wrapped(passages["LGPL-3.0"]), "MIT": "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(files["MIT"].removeprefix("MIT License. ")), "BSD-3-Clause": "Copyright (c) 1999, Some Body\nAll rights reserved.\n\n" + wrapped(files["BSD-3-Clause"]), "ISC": wrapped(files["ISC"])}
+    shelf = "/usr/share/common-licenses"
+    if os.path.isdir(shelf):
+        texts |= {f"{name}@": open(f"{shelf}/{own}").read() for name, own in (("GPL-3.0", "GPL-3"), ("GPL-2.0", "GPL-2"), ("LGPL-3.0", "LGPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD-3-Clause", "BSD"))}
+    rows = [(f"{i}/legal.txt", t) for i, t in enumerate(texts.values())] + [(f"{i}/src/code.py", "code") for i in range(len(texts))] + [("none/code.py", legal)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in L.scan(df, F.col("path")).collect()}
+    want = [name.rstrip("@") for name in texts]
+    assert [got[i + len(want)] for i in range(len(want))] == [(name, "inherited") for name in want]
+    assert [got[i][0] for i in range(len(want))] == want
+    assert got[2 * len(want)] == (None, None)
+
+
+def test_a_missing_source_is_no_folder(spark, tmp_path):
+    from weft.llm import queries
+
+    rows = [(0, "This work is licensed under the GNU General Public License, version 3.", None), (1, "code", None), (2, "code", "s"), (None, "code", "s"), (4, dict(L.FILES)["MIT"], "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.path, r.license, r.origin) for r in queries.op9_licenses(spark, str(tmp_path)).collect()}
+    assert got[0] == (None, "GPL-3.0", "header") and got[1] == (None, None, None) and got[2] == ("s/2", "MIT", "inherited") and got[None] == (None, None, None)
+
+
 def test_no_python_in_the_plan(docs):
     plan = L.scan(docs(TEXTS), F.lit("a/b"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

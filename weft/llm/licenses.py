@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosines of headers and licence files to templates, and inheritance along directories.
 
 Every sentence of a text, and every run of neighbouring sentences and lines (wrapped statements; comment marks are
-no terms), is a header that may state a licence; a text as a whole may be a licence file.
-Both are sparse TF-IDF vectors, compared by cosine with the templates. Document frequencies of all
+no terms), is a header that may state a licence. A text is a licence file if it is, as a whole, like the whole text
+of a short licence, or if a run of its lines is like a passage that only the text of a long licence holds, however long the
+rest is. All are sparse TF-IDF vectors, compared by cosine with the templates. Document frequencies of all
 terms are counted over all texts, in one table. A file without a statement of its own inherits from the
 nearest directory above it that holds a licence file: paths are joined with their ancestors.
 
@@ -37,6 +38,7 @@ HEADERS = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
@@ -48,21 +50,56 @@ HEADERS = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Proprietary", "All rights reserved."),
 )
-#: Whole licence files, by their opening words.
+#: Passages that stand in the text of a licence itself, for licences whose texts are long: (SPDX id, passage).
+PASSAGES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("MPL-2.0", "Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions"),
+)
+#: Whole texts of short licences.
 FILES = (
-    ("Apache-2.0", "Apache License Version 2.0, January 2004 TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
-    ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Everyone is permitted to copy and distribute verbatim copies of this license document"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    (
+        "MIT",
+        "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom "
+        "the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain "
+        "the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be "
+        "used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND "
+        "ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+        "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "ISC",
+        "ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
 )
 THRESHOLD = 0.75
 FILE_THRESHOLD = 0.6
 #: File names that hold the licence of their directory whatever they say otherwise.
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.(md|txt|rst))?$"
 TERM = "[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
-#: Rows of the table of frequencies up to which the asked part is broadcast.
+#: Rows of the table of frequencies up to which the asked part is broadcast, some 10 MB.
 BROADCAST_TERMS = 200_000
+#: Directories that inherit, up to which they're broadcast, some 10 MB; more are joined with the rows of a directory dealt to so many tasks.
+BROADCAST_FOLDERS = 100_000
+SALTS = 16
 BREAK = "\\n|(?<=[.!?;])[\\x20\\t]+"
 
 Template = tuple[str, str, dict[str, float]]
@@ -187,62 +224,84 @@ def _best(found: DataFrame, bags: dict[str, str], frequencies: DataFrame, n: int
     return scored.groupBy("row").agg(*[F.max(F.when(F.col("kind") == out, best)).alias(out) for out in bags.values()])
 
 
-def own_licenses(docs: DataFrame, headers: tuple[tuple[str, str], ...] = HEADERS, files: tuple[tuple[str, str], ...] = FILES, threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD) -> DataFrame:
+def own_licenses(docs: DataFrame, headers: tuple[tuple[str, str], ...] = HEADERS, files: tuple[tuple[str, str], ...] = FILES, passages: tuple[tuple[str, str], ...] = PASSAGES, threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD) -> DataFrame:
     """``doc_id, path, header, header_score, file, file_score``: the best statement in each text and its likeness to a licence file."""
     frequencies = materialize(document_frequencies(docs), "df")
-    wanted = sorted({t for _, text in (*headers, *files) for t in terms(text)} | {" n"})
+    templates = (*headers, *passages, *files)
+    wanted = sorted({t for _, text in templates for t in terms(text)} | {" n"})
     df = {r.term: r.df for r in frequencies.where(F.col("term").isin(wanted)).collect()}  # a row for each term of the templates
     n = df.pop(" n", 0)
-    idf, vectors = weigh((*headers, *files), n, df)
-    of_headers, of_files = vectors[: len(headers)], vectors[len(headers) :]
-    marks = F.array(*map(F.lit, anchors(of_headers, threshold)))
-    file_marks = F.array(*map(F.lit, anchors(of_files, file_threshold)))
+    idf, vectors = weigh(templates, n, df)
+    # kind: column of its bags, templates, their names, threshold
+    kinds = {
+        "h": ("_headers", vectors[: len(headers)], headers, threshold),
+        "p": ("_passages", vectors[len(headers) : len(headers) + len(passages)], passages, threshold),
+        "f": ("_files", vectors[len(headers) + len(passages) :], files, file_threshold),
+    }
+    marks = {k: F.array(*map(F.lit, anchors(own, least))) for k, (_, own, _, least) in kinds.items()}
     rows = docs.withColumn("_split", F.transform(F.split("text", BREAK), _words))
-    rows = rows.withColumn("_sentences", F.filter("_split", lambda w: F.size(w) > 0)).withColumn("_whole", F.flatten("_sentences"))
-    rows = rows.select("doc_id", "path", F.when(F.arrays_overlap("_whole", marks), F.col("_sentences")).alias("_sentences"), F.when(F.arrays_overlap("_whole", file_marks), F.array("_whole")).alias("_files"))
-    rows = _windows(rows, "_sentences", marks, of_headers, idf, threshold, "_headers").drop("_sentences")
-    rows = _bounded(_bounded(rows, "_headers", of_headers, idf, threshold), "_files", of_files, idf, file_threshold)
+    rows = rows.withColumn("_lines", F.filter("_split", lambda w: F.size(w) > 0)).withColumn("_whole", F.flatten("_lines"))
+    marked = {k: F.arrays_overlap("_whole", marks[k]) for k in kinds}
+    rows = rows.select("doc_id", "path", F.when(marked["h"], F.col("_lines")).alias("_of_h"), F.when(marked["p"], F.col("_lines")).alias("_of_p"), F.when(marked["f"], F.array("_whole")).alias("_files"))
+    for k in "hp":
+        rows = _windows(rows, f"_of_{k}", marks[k], kinds[k][1], idf, threshold, kinds[k][0]).drop(f"_of_{k}")
+    for bags, own, _, least in kinds.values():
+        rows = _bounded(rows, bags, own, idf, least)
     found = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "bags")  # numbered once, as it's written
-    best = _best(found, {"_headers": "h", "_files": "f"}, frequencies, n)
+    best = _best(found, {bags: k for k, (bags, _, _, _) in kinds.items()}, frequencies, n)
     rows = found.select("row", "doc_id", "path").join(best, "row", "left")
-    names = F.array(*[F.lit(x) for x, _ in headers])
-    file_names = F.array(*[F.lit(x) for x, _ in files])
-    header = F.when(F.col("h.score") >= threshold, F.get(names, -F.col("h.template")))
-    file = F.when(F.col("f.score") >= file_threshold, F.get(file_names, -F.col("f.template")))
-    return rows.select("doc_id", "path", header.alias("header"), F.when(header.isNotNull(), F.col("h.score")).alias("header_score"), file.alias("file"), F.when(file.isNotNull(), F.col("f.score")).alias("file_score"))
+
+    def hit(k: str) -> tuple[Column, Column]:
+        _, _, named, least = kinds[k]
+        score = F.when(F.col(f"{k}.score") >= least, F.col(f"{k}.score"))
+        return F.when(score.isNotNull(), F.get(F.array(*[F.lit(x) for x, _ in named]), -F.col(f"{k}.template"))), score
+
+    (header, header_score), (passage, passage_score), (whole, whole_score) = map(hit, "hpf")
+    by_passage = passage_score.isNotNull() & (whole_score.isNull() | (passage_score >= whole_score))
+    file, file_score = F.when(by_passage, passage).otherwise(whole), F.when(by_passage, passage_score).otherwise(whole_score)
+    return rows.select("doc_id", "path", header.alias("header"), header_score.alias("header_score"), file.alias("file"), file_score.alias("file_score"))
 
 
 def _directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
+def _spread(rows: DataFrame, folders: DataFrame, on: str, how: str) -> DataFrame:
+    """``rows`` joined with a table of one row for each directory: broadcast if its rows, counted, are few; else the rows of a
+    directory go to several tasks, as one may hold a third of all and the root is above every one."""
+    if folders.limit(BROADCAST_FOLDERS + 1).count() <= BROADCAST_FOLDERS:
+        return rows.join(F.broadcast(folders), on, how)
+    dealt = folders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(dealt, [on, "salt"], how).drop("salt")
+
+
 def inherit(found: DataFrame) -> DataFrame:
     """``doc_id, path, license, score, origin, inherited_from`` from the rows of ``own_licenses``.
 
     origin is ``header`` (a statement), ``file`` (the text is a licence file), ``inherited``, or null."""
+    found = materialize(found, "found")
     name = F.element_at(F.split("path", "/"), -1)
     holders = found.where(F.col("file").isNotNull() | (name.rlike(FILE_NAME) & F.col("header").isNotNull()))
     best = F.max_by(F.struct(F.coalesce("file", "header").alias("license"), F.col("path").alias("from")), F.struct(F.coalesce("file_score", "header_score"), F.col("path")))
-    by_folder = holders.where("path is not null").groupBy(_directory(F.col("path")).alias("folder")).agg(best.alias("held"))
-    own = F.coalesce("header", "file")
+    by_folder = materialize(holders.where("path is not null").groupBy(_directory(F.col("path")).alias("folder")).agg(best.alias("held")), "holders")
+    own = F.coalesce("file", "header")
     # one row for each folder that needs a licence, then its ancestors, and the nearest that has one
     folders = found.where(own.isNull() & F.col("path").isNotNull()).select(_directory(F.col("path")).alias("at")).distinct()
     parts = F.split("at", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     up = folders.select("at", F.posexplode(F.array_distinct(above)).alias("depth", "folder"))
-    nearest = up.join(by_folder, "folder").groupBy("at").agg(F.max_by("held", "depth").alias("held"))
-    needs = F.when(own.isNull(), _directory(F.col("path")))
-    out = found.withColumn("needs", needs).join(nearest, F.col("needs") == F.col("at"), "left")
-    origin = F.when(F.col("header").isNotNull(), "header").when(F.col("file").isNotNull(), "file").when(F.col("held").isNotNull(), "inherited")
-    return out.select("doc_id", "path", F.coalesce(own, "held.license").alias("license"), F.coalesce("header_score", "file_score").alias("score"), origin.alias("origin"), F.col("held.from").alias("inherited_from"))
+    nearest = materialize(_spread(up, by_folder, "folder", "inner").groupBy("at").agg(F.max_by("held", "depth").alias("held")), "nearest")
+    out = _spread(found.withColumn("at", F.when(own.isNull(), _directory(F.col("path")))), nearest, "at", "left")
+    origin = F.when(F.col("file").isNotNull(), "file").when(F.col("header").isNotNull(), "header").when(F.col("held").isNotNull(), "inherited")
+    return out.select("doc_id", "path", F.coalesce(own, "held.license").alias("license"), F.coalesce("file_score", "header_score").alias("score"), origin.alias("origin"), F.col("held.from").alias("inherited_from"))
 
 
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, path, license, score, origin, inherited_from`` for every row.
 
     ``path`` is the file's path with / between directories, without one at either end; null paths
-    neither give nor inherit. Null and empty texts state nothing but inherit. A text states the licence of
-    its best sentence (ties: the first template); several licence files in a directory count by their
+    neither give nor inherit. Null and empty texts state nothing but inherit. A licence file has its own
+    licence, any other text that of its best header (ties: the first template); several licence files in a directory count by their
     score, ties to the last path. Repeated rows are judged each; extra columns are ignored; an empty table
     gives no rows.
     """

@@ -52,8 +52,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's path is its source, as a directory, and its id."""
-    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    """A document's path is its source, as a directory, and its id; without a source it has none."""
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
     return licenses.scan(table(spark, sf_dir, "documents"), path)
 
 
