@@ -32,6 +32,17 @@ def test_ids_are_the_library_s_and_decode(codec):
         assert back.decode() == text.replace("▁", " ")
 
 
+def test_counts_are_those_of_the_ids(codec):
+    texts = [t.encode() for t in samples(codec.model.pieces)] + [None]
+    assert codec.count(texts) == [len(x) for x in codec.encode(texts)]
+
+
+def test_long_words_take_the_same_way(codec):
+    library, rng = SentencePieceProcessor(model_file=PATH), random.Random(7)
+    words = ["".join(rng.choice("abcdeфé漢😀") for _ in range(n)) for n in (5, 5, 800, 800, 5000)]
+    assert [x.tolist() for x in codec.model.segment(["▁" + w for w in words])] == library.encode(words)
+
+
 def test_pairs_are_those_of_merging(codec):
     import numpy as np
 

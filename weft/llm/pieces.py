@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi.
 
-Equal-length words advance together, one position at a time. For each position the hashes of the
-substrings that end there are looked up among the sorted hashes of the pieces, a vectorised maximum
-picks the piece, and back-pointers give the segmentation.
+Equal-length words, of whatever length, advance together, one position at a time. The hashes of the
+substrings that end at a position are looked up among the sorted hashes of the pieces, each that is a piece
+is a path (the score of the best path to its start, and its own), a vectorised maximum over the paths of each
+word stores the back-pointer, and back-pointers give the segmentation.
 
 The public model is a BPE model: its right segmentation is that of the merges, not the one with the
 largest sum of scores. Yet it has the shape that a Viterbi needs: the last piece of each prefix is
@@ -34,8 +35,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.int64(1 << 40)
 MEMO_WORDS = 400_000
 SLOT_BITS = 21
-#: Longer words are worked on alone.
-LONG = 512
+#: Substrings that are looked up at once, some 100 MB of working memory.
+AT_ONCE = 1_000_000
+#: Score of a character that no piece holds, under that of any piece.
+UNKNOWN = -1e6
 SOME_BITS = 20
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -66,6 +69,7 @@ class Model:
         # a piece's number here is its turn: single characters, then merges, the earliest first
         self.ids = np.array([x[2] for x in normal])
         self.pieces = [x[3] for x in normal]
+        self.scores = np.array([-x[1] for x in normal])
         self.longest = max(map(len, self.pieces))
         self.lengths = np.array([len(p) for p in self.pieces])
         turn = {p: i for i, p in enumerate(self.pieces)}
@@ -167,9 +171,7 @@ class Model:
         """The ids of each word; words of one length advance together."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         lengths = np.array([len(w) for w in words], int)
-        for i in np.flatnonzero(lengths > LONG):
-            out[i] = self._long(words[i])
-        for n in np.unique(lengths[lengths <= LONG]):
+        for n in np.unique(lengths):
             which = np.flatnonzero(lengths == n)
             step = max(1, 400_000 // int(n))
             for at in range(0, len(which), step):
@@ -178,66 +180,39 @@ class Model:
                     out[i] = ids
         return out
 
-    def _long(self, word: str) -> np.ndarray:
-        """The ids of one very long word: all its substrings are looked up at once, then the positions follow each other."""
-        chars = np.frombuffer(word.encode("utf-32-le"), np.uint32).tolist()
-        prefix, h, base = [0], 0, int(BASE)
-        for c in chars:
-            h = (h * base + c + 1) & 0xFFFFFFFFFFFFFFFF
-            prefix.append(h)
-        hashes, n = np.array(prefix, np.uint64), len(chars)
-        options: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        with np.errstate(over="ignore"):
-            for size in range(1, min(self.longest, n) + 1):
-                piece = self.find(hashes[size:] - hashes[:-size] * self.power[size])
-                for start in np.flatnonzero(piece != NONE).tolist():
-                    options[start + size].append((size, int(piece[start])))
-        last, back, known = [-1] * (n + 1), [1] * (n + 1), {}
-        for end in range(1, n + 1):
-            for size, piece in options[end]:
-                before = last[end - size]
-                if not self.reached[piece]:
-                    continue
-                if end > size and before >= 0:
-                    if (before, piece) not in known:
-                        known[before, piece] = bool(self._decide(np.array([before]), np.array([piece]))[0])
-                    if not known[before, piece]:
-                        continue
-                last[end], back[end] = piece, size
-        out, end = [], n
-        while end:
-            out.append([int(self.ids[last[end]])] if last[end] >= 0 else self.bytes_of[list(word[end - 1].encode())].tolist())
-            end -= back[end]
-        return np.array([x for ids in reversed(out) for x in ids], np.int64)
-
     def _equal(self, words: list[str], n: int) -> list[np.ndarray]:
+        """Words of ``n`` characters: a row for each word, a column for each position; all sizes of a last piece at once."""
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
-        rows = np.arange(len(words))
+        rows, sizes = np.arange(len(words)), np.arange(1, min(n, self.longest) + 1)
         prefix = np.zeros((len(words), n + 1), np.uint64)
+        score = np.zeros((len(words), n + 1))  # of the best path to a position
         last = np.full((len(words), n + 1), NONE)  # the piece that ends at a position; -1: an unknown character
-        back = np.zeros((len(words), n + 1), np.int32)
+        back = np.zeros((len(words), n + 1), np.int32)  # its length
         with np.errstate(over="ignore"):
             for i in range(n):
                 prefix[:, i + 1] = prefix[:, i] * BASE + chars[:, i] + np.uint64(1)
-            for end in range(1, n + 1):
-                best = np.full(len(words), -1, np.int64)
-                for size in range(1, min(end, self.longest) + 1):
-                    start = end - size
-                    piece = self.find(prefix[:, end] - prefix[:, start] * self.power[size])
-                    who = np.flatnonzero(piece != NONE)
-                    if not len(who):
-                        continue
-                    piece = piece[who]
-                    good = self.reached[piece]
-                    if start:
-                        before = last[who, start]
-                        ask = np.flatnonzero(good & (before >= 0))
-                        good[ask] = self.compatible(before[ask], piece[ask])
-                    who, piece = who[good], piece[good]
-                    best[who] = size
-                    last[who, end], back[who, end] = piece, size
-                lost = rows[best < 0]
-                last[lost, end], back[lost, end] = -1, 1
+        block = max(1, AT_ONCE // (len(words) * len(sizes)))
+        for low in range(1, n + 1, block):
+            ends = np.arange(low, min(low + block, n + 1))
+            starts = ends[:, None] - sizes
+            with np.errstate(over="ignore"):
+                hashes = prefix[:, ends, None] - prefix[:, np.maximum(starts, 0)] * self.power[sizes]
+            pieces = self.find(hashes.ravel()).reshape(hashes.shape)
+            pieces[:, starts < 0] = NONE
+            for end, found in zip(ends.tolist(), pieces.transpose(1, 0, 2), strict=True):
+                who, size = np.nonzero(found != NONE)
+                piece, start = found[who, size], end - 1 - size
+                good, before = self.reached[piece], last[who, start]
+                ask = np.flatnonzero(good & (start > 0) & (before >= 0))
+                good[ask] = self.compatible(before[ask], piece[ask])
+                paths = np.full(found.shape, -np.inf)
+                paths[who, size] = np.where(good, score[who, start] + self.scores[piece], -np.inf)
+                best = paths.argmax(axis=1)
+                top = paths[rows, best]
+                lost = np.isneginf(top)
+                score[:, end] = np.where(lost, score[:, end - 1] + UNKNOWN, top)
+                last[:, end] = np.where(lost, -1, found[rows, best])
+                back[:, end] = np.where(lost, 1, best + 1)
         out = []
         ends, found = np.full(len(words), n), []
         while (ends > 0).any():
@@ -266,27 +241,43 @@ class Codec:
     def _clear(self) -> None:
         self.numbers = Numbered()
         self.ids: list[bytes] = []
+        self.sizes: dict[str, int] = {}
+
+    @staticmethod
+    def words(text: bytes | None) -> list[str]:
+        """The words of a text, none over a space or line break; a space before a word is left out."""
+        s = (text or b"").decode("utf-8", "replace")
+        if not s:
+            return []
+        if "  " in s or " \n" in s or s[0] == " " or s[-1] == " " or SPACE in s:
+            return WORDS.findall(SPACE + s.replace(" ", SPACE))
+        # a line break is in no piece, so none reaches over it; other words stand behind a space that is left out
+        return s.replace("\n", " \n").split(" ")
+
+    @staticmethod
+    def spaced(words: list[str]) -> list[str]:
+        return [w if w[:1] in (SPACE, "\n") else SPACE + w for w in words]
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text; null and empty texts have none."""
         if len(self.numbers) > MEMO_WORDS:
             self._clear()
-        number, split = self.numbers.__getitem__, []
-        for t in texts:
-            s = (t or b"").decode("utf-8", "replace")
-            if not s:
-                words = []
-            elif "  " in s or " \n" in s or s[0] == " " or s[-1] == " " or SPACE in s:
-                words = WORDS.findall(SPACE + s.replace(" ", SPACE))
-            else:
-                # a line break is in no piece, so none reaches over it; other words stand behind a space that is left out
-                words = s.replace("\n", " \n").split(" ")
-            split.append(list(map(number, words)))
-        fresh = [w if w[:1] in (SPACE, "\n") else SPACE + w for w in self.numbers.take()]
-        self.ids += [x.astype("<i4").tobytes() for x in self.model.segment(fresh)]
+        number = self.numbers.__getitem__
+        split = [list(map(number, self.words(t))) for t in texts]
+        self.ids += [x.astype("<i4").tobytes() for x in self.model.segment(self.spaced(self.numbers.take()))]
         ids = self.ids.__getitem__
         return [np.frombuffer(b"".join(map(ids, words)), "<i4") for words in split]
 
+    def count(self, texts: list[bytes | None]) -> list[int]:
+        """The number of ids of each text."""
+        if len(self.sizes) > MEMO_WORDS:
+            self.sizes = {}
+        split = [self.words(t) for t in texts]
+        fresh = list(set().union(*split) - self.sizes.keys())
+        self.sizes.update(zip(fresh, map(len, self.model.segment(self.spaced(fresh))), strict=True))
+        size = self.sizes.__getitem__
+        return [sum(map(size, words)) for words in split]
+
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The texts of these ids."""
         get, space = self.model.text_of.__getitem__, SPACE.encode()
@@ -325,6 +316,20 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
+def count(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_pieces`` for every whole text: as ``encode``, but nothing is put together or decoded."""
+    held = docs.sparkSession.sparkContext.broadcast(Model(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _codecs:
+            _codecs[path] = Codec(held.value)
+        for batch, texts in slices(batches, "text", 4096, 16_000_000):
+            yield pa.record_batch([batch.column(0), pa.array(_codecs[path].count(texts), pa.int64())], names=["doc_id", "n_pieces"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_pieces long")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; null ids give an empty text, ids out of the vocabulary are an error."""
     held = encoded.sparkSession.sparkContext.broadcast(Model(path))
