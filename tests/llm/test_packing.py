@@ -49,7 +49,28 @@ def test_batches_are_full_and_within_the_budget(docs):
         assert sum(r.padding for r in rows) == padding([len(t.split()) for t in texts], sorted({r.bucket for r in rows}))
 
 
-def test_long_lengths_share_bins(spark):
+def test_every_boundary_is_tried():
+    rng = random.Random(4)
+    for n, k in ((300, 5), (120, 16)):
+        top = np.array(sorted(rng.sample(range(1, 200_000), n)))
+        count = np.array([rng.choice([1, 1, 2, 50, 10**10]) for _ in top])
+        # brute force over all cuts with whole numbers
+        least = {0: [0] + [None] * n}
+        for layer in range(1, k + 1):
+            least[layer] = list(least[layer - 1])
+            for j in range(1, n + 1):
+                pad, options = 0, []
+                for i in range(j - 1, -1, -1):
+                    pad += (int(top[j - 1]) - int(top[i])) * int(count[i])
+                    if least[layer - 1][i] is not None:
+                        options.append(least[layer - 1][i] + pad)
+                if options and (least[layer][j] is None or min(options) < least[layer][j]):
+                    least[layer][j] = min(options)
+        got = boundaries(top, count, top * count, k)
+        assert len(got) <= k and sum((min(t for t in got if t >= a) - int(a)) * int(c) for a, c in zip(top, count, strict=True)) == least[k][n]
+
+
+def test_long_lengths_are_packed_too(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), (F.col("id") * 37 + 1).alias("n"))
     got = pack(rows, buckets=8, length=F.col("n")).collect()
     assert len(got) == 20_000 and len({r.bucket for r in got}) <= 8
@@ -75,5 +96,6 @@ def test_query_counts_tokens(spark):
     want = {r.doc_id: r.n_pieces for r in pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).collect()}
     rows = queries.op5_packing(spark, sf).collect()
     assert {r.doc_id: r.n_tokens for r in rows} == want
+    assert {r.unit for r in rows} == {"piece_bpe_32k tokens"}
     assert sum(want.values()) > sum(len((r.text or "").split()) for r in docs.collect())
     check(rows, 65_536)

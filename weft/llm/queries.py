@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import language, licenses, line_dedup, packing, pieces, pii, quality, simhash, token_files, vptree
-from weft.session import materialize, table
+from weft.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,9 +31,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths are tokens of the piece model; encoded once, as packing reads them twice."""
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
-    return packing.pack(materialize(encoded.select("doc_id", "n_pieces"), "lengths"), length=F.col("n_pieces"))
+    """Lengths are tokens of the piece model."""
+    counted = pieces.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return packing.pack(counted, length=F.col("n_pieces"), unit="piece_bpe_32k tokens")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
