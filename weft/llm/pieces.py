@@ -117,16 +117,20 @@ class Model:
         self.__dict__.update(state)
         self._forget()
 
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these hashes are a piece's, in order, and the pieces."""
+        may = np.flatnonzero(self.some[(hashes >> np.uint64(64 - SOME_BITS)).astype(np.int64)])
+        asked = hashes[may]
+        i = np.searchsorted(self.keys, asked)
+        i[i == len(self.keys)] = 0
+        hit = self.keys[i] == asked
+        return may[hit], self.turns[i[hit]]
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The pieces with these hashes, NONE where there's none."""
         out = np.full(len(hashes), NONE)
-        may = np.flatnonzero(self.some[(hashes >> np.uint64(64 - SOME_BITS)).astype(np.int64)])
-        if len(may):
-            asked = hashes[may]
-            i = np.searchsorted(self.keys, asked)
-            i[i == len(self.keys)] = 0
-            hit = self.keys[i] == asked
-            out[may[hit]] = self.turns[i[hit]]
+        at, found = self.hits(hashes)
+        out[at] = found
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,67 +172,83 @@ class Model:
         return out
 
     def segment(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word; words of one length advance together."""
+        """The ids of each word."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        for some, turns, ends in self._batches(words):
+            is_piece = turns != NONE
+            flat, cuts = turns[is_piece], [0, *np.cumsum(is_piece.sum(1)).tolist()]
+            ids = self.ids[np.maximum(flat, 0)]
+            for i, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+                out[i] = ids[a:b]
+            for row in np.flatnonzero((turns < 0).any(axis=1)).tolist():
+                word = words[some[row]]
+                parts = [[self.ids[t]] if t >= 0 else self.bytes_of[list(word[e - 1].encode())] for t, e in zip(turns[row], ends[row], strict=True) if t != NONE]
+                out[some[row]] = np.concatenate(parts).astype(np.int64)
+        return out
+
+    def sizes(self, words: list[str]) -> np.ndarray:
+        """The number of ids of each word."""
+        out = np.zeros(len(words), np.int64)
+        for some, turns, ends in self._batches(words):
+            out[some] = (turns != NONE).sum(1)
+            for row, place in zip(*(x.tolist() for x in np.nonzero(turns < 0)), strict=True):
+                out[some[row]] += len(words[some[row]][ends[row, place] - 1].encode()) - 1
+        return out
+
+    def _batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Words of one length advance together: which words, the pieces of each (-1: an unknown character; NONE fills up
+        paths of fewer pieces, in front), and where each ends."""
         lengths = np.array([len(w) for w in words], int)
-        for n in np.unique(lengths):
-            which = np.flatnonzero(lengths == n)
-            step = max(1, 400_000 // int(n))
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            which = np.flatnonzero(lengths == n).tolist()
+            step = max(1, 400_000 // n)
             for at in range(0, len(which), step):
                 some = which[at : at + step]
-                for i, ids in zip(some, self._equal([words[i] for i in some], int(n)), strict=True):
-                    out[i] = ids
-        return out
-
-    def _equal(self, words: list[str], n: int) -> list[np.ndarray]:
-        """Words of ``n`` characters: a row for each word, a column for each position; all sizes of a last piece at once."""
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
-        rows, sizes = np.arange(len(words)), np.arange(1, min(n, self.longest) + 1)
-        prefix = np.zeros((len(words), n + 1), np.uint64)
-        score = np.zeros((len(words), n + 1))  # of the best path to a position
-        last = np.full((len(words), n + 1), NONE)  # the piece that ends at a position; -1: an unknown character
-        back = np.zeros((len(words), n + 1), np.int32)  # its length
+                yield some, *self._paths([words[i] for i in some], n)
+
+    def _paths(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best path through each of the words of ``n`` characters. Tables have a row for each position, a column for each word."""
+        rows, most = np.arange(len(words)), min(n, self.longest)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T.astype(np.uint64)
+        prefix = np.zeros((n + 1, len(words)), np.uint64)
+        score = np.zeros((n + 1, len(words)))  # of the best path to a position
+        last = np.full((n + 1, len(words)), -1, np.int64)  # the piece that ends at a position; -1: an unknown character, or none
+        back = np.ones((n + 1, len(words)), np.int32)  # its length
         with np.errstate(over="ignore"):
             for i in range(n):
-                prefix[:, i + 1] = prefix[:, i] * BASE + chars[:, i] + np.uint64(1)
-        block = max(1, AT_ONCE // (len(words) * len(sizes)))
+                prefix[i + 1] = prefix[i] * BASE + chars[i] + np.uint64(1)
+        block = max(1, AT_ONCE // (len(words) * most))
         for low in range(1, n + 1, block):
+            # all substrings that end at some positions: by end, then by size
             ends = np.arange(low, min(low + block, n + 1))
-            starts = ends[:, None] - sizes
+            starts = ends[:, None] - np.arange(1, most + 1)
+            there = starts >= 0
+            of_end, of_start = np.broadcast_to(ends[:, None], starts.shape)[there], starts[there]
             with np.errstate(over="ignore"):
-                hashes = prefix[:, ends, None] - prefix[:, np.maximum(starts, 0)] * self.power[sizes]
-            pieces = self.find(hashes.ravel()).reshape(hashes.shape)
-            pieces[:, starts < 0] = NONE
-            for end, found in zip(ends.tolist(), pieces.transpose(1, 0, 2), strict=True):
-                who, size = np.nonzero(found != NONE)
-                piece, start = found[who, size], end - 1 - size
-                good, before = self.reached[piece], last[who, start]
-                ask = np.flatnonzero(good & (start > 0) & (before >= 0))
-                good[ask] = self.compatible(before[ask], piece[ask])
-                paths = np.full(found.shape, -np.inf)
-                paths[who, size] = np.where(good, score[who, start] + self.scores[piece], -np.inf)
-                best = paths.argmax(axis=1)
-                top = paths[rows, best]
-                lost = np.isneginf(top)
-                score[:, end] = np.where(lost, score[:, end - 1] + UNKNOWN, top)
-                last[:, end] = np.where(lost, -1, found[rows, best])
-                back[:, end] = np.where(lost, 1, best + 1)
-        out = []
+                hashes = prefix[of_end] - prefix[of_start] * self.power[of_end - of_start][:, None]
+            at, piece = self.hits(hashes.ravel())
+            at, piece = at[self.reached[piece]], piece[self.reached[piece]]
+            substring, who = np.divmod(at, len(words))
+            start, cost = of_start[substring], self.scores[piece]
+            cuts = np.searchsorted(of_end[substring], np.append(ends, n + 1)).tolist()
+            for end, a, b in zip(ends.tolist(), cuts[:-1], cuts[1:], strict=True):
+                w, s, p = who[a:b], start[a:b], piece[a:b]
+                before = last[s, w]
+                good = before < 0
+                ask = np.flatnonzero(~good)
+                good[ask] = self.compatible(before[ask], p[ask])
+                w, s, p = w[good], s[good], p[good]
+                paths = score[s, w] + cost[a:b][good]
+                best = np.full(len(words), -np.inf)
+                np.maximum.at(best, w, paths)
+                top = paths == best[w]
+                last[end, w[top]], back[end, w[top]] = p[top], end - s[top]
+                score[end] = np.where(np.isneginf(best), score[end - 1] + UNKNOWN, best)
         ends, found = np.full(len(words), n), []
         while (ends > 0).any():
-            found.append((last[rows, ends], np.where(ends > 0, back[rows, ends], 0), ends.copy()))
-            ends = ends - found[-1][1]
-        turns = np.stack([f[0] for f in found][::-1], axis=1)
-        sizes = np.stack([f[1] for f in found][::-1], axis=1)
-        for i, (t, s) in enumerate(zip(turns, sizes, strict=True)):
-            t = t[s > 0]
-            if (t < 0).any():
-                ends = np.cumsum(s[s > 0])
-                ids = [[self.ids[x]] if x >= 0 else self.bytes_of[list(words[i][e - 1].encode())] for x, e in zip(t, ends, strict=True)]
-                out.append(np.concatenate(ids).astype(np.int64))
-            else:
-                out.append(self.ids[t])
-        return out
+            found.append((np.where(ends > 0, last[ends, rows], NONE), ends))
+            ends = np.where(ends > 0, ends - back[ends, rows], 0)
+        return np.stack([t for t, _ in found][::-1], axis=1), np.stack([e for _, e in found][::-1], axis=1)
 
 
 class Codec:
@@ -274,7 +294,7 @@ class Codec:
             self.sizes = {}
         split = [self.words(t) for t in texts]
         fresh = list(set().union(*split) - self.sizes.keys())
-        self.sizes.update(zip(fresh, map(len, self.model.segment(self.spaced(fresh))), strict=True))
+        self.sizes.update(zip(fresh, self.model.sizes(self.spaced(fresh)).tolist(), strict=True))
         size = self.sizes.__getitem__
         return [sum(map(size, words)) for words in split]
 
