@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from weft.llm.line_dedup import dedup_lines
+from weft.llm.line_dedup import dedup_lines, edit_distance
 
 
 def distance(a, b):
@@ -15,7 +15,7 @@ def distance(a, b):
     return row[-1]
 
 
-def plain(rows, threshold=2, least=16):
+def plain(rows, threshold=2, similarity=0.8):
     """(text, repeated, similar) of each row (id, text) in order."""
     seen, out = [], []
     for _, text in rows:
@@ -27,7 +27,7 @@ def plain(rows, threshold=2, least=16):
             if line in seen:
                 repeated += 1
                 continue
-            near = any(len(line) >= least and len(s) >= least and abs(len(s) - len(line)) <= threshold and distance(s, line) <= threshold for s in seen)
+            near = any(abs(len(s) - len(line)) <= threshold and distance(s, line) <= min(threshold, (1 - similarity) * max(len(s), len(line)) + 1e-9) for s in seen)
             seen.append(line)
             if near:
                 similar += 1
@@ -67,6 +67,44 @@ def test_lines_are_those_of_plain_code(docs, hot_rows):
     assert sum(w[1] for w in want) > 5 and sum(w[2] for w in want) > 20
 
 
+def test_short_lines_are_similar_by_their_share(docs):
+    lines = ["abc", "abd", "abcd", "abce", "abcde", "abcdf", "abxde", "bcde", "abcdefgh", "abcdefxx", "abcdefgx", "abcdefghij", "abcdefghxx", "xbcdefghi", "abcdefghijk", "cdefghijk", "😀é漢字abc", "😀é漢字abd", "é漢字abc"]
+    for seed in range(6):
+        texts = random.Random(seed).sample(lines, len(lines))
+        for similarity in (0.8, 0.6):
+            got = {r.doc_id: r.text for r in dedup_lines(docs(texts), similarity=similarity).collect()}
+            assert got == {i: w[0] for i, w in enumerate(plain(list(enumerate(texts)), similarity=similarity))}
+
+
+@pytest.mark.parametrize("hot_rows", [256, 0])
+def test_groups_of_near_lines_keep_their_first(docs, hot_rows):
+    rng = random.Random(3)
+    base = "the same template line with changing characters in it"
+    texts = ["".join(rng.choice("xyz") if i in rng.sample(range(len(base)), 2) else c for i, c in enumerate(base)) for _ in range(40)]
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(12)) + " a common tail of all these lines" for _ in range(40)]
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.text, r.n_repeated, r.n_similar) for r in dedup_lines(docs(texts), hot_rows=hot_rows).collect()}
+    assert got == dict(enumerate(plain(list(enumerate(texts)))))
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3, 5])
+def test_bit_parallel_distance(spark, threshold):
+    rng = random.Random(threshold)
+    pairs = [("", ""), ("", "a"), ("abc", ""), ("a" * 200, "a" * 199 + "b")]
+    for _ in range(250):
+        one = "".join(rng.choice("abé😀") for _ in range(rng.randint(0, 12)))
+        two = list(one) if rng.random() < 0.8 else [rng.choice("abé😀") for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(two) + 1)
+            two[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        pairs.append((one, "".join(two)))
+    df = spark.createDataFrame([(list(a), list(b)) for a, b in pairs], "one array<string>, two array<string>")
+    for r in edit_distance(df, "one", "two", threshold, "d").collect():
+        want = distance(r.one, r.two)
+        assert r.d == (want if want <= threshold else None), (r.one, r.two)
+    assert spark.sql("select split('a😀é', '') as c").first().c == ["a", "😀", "é"]
+
+
 def test_threshold_of_one(docs):
     texts = corpus()
     got = {r.doc_id: r.text for r in dedup_lines(docs(texts), threshold=1).collect()}

@@ -1,19 +1,24 @@
 """Line deduplication across a corpus by a segment-partition edit join, in DataFrame operations only.
 
-A line with a word is removed if an equal line, or for lines of ``min_chars`` code points and more a
-line within ``threshold`` edits, stands earlier in the order of (doc_id, line number); the first one stays.
+A line with a word is removed if an equal line, or a similar one, stands earlier in the order of (doc_id, line
+number); the first one stays. Lines are similar within ``threshold`` edits that are at most a share of
+1 - ``similarity`` of the longer line's characters (with two edits and 0.8: one edit from 5 characters on, two from 10 on).
 
 Equal lines meet on 128 bits of hashes, aggregated before the shuffle. For edits, a line is cut into
-threshold+1 even segments: of so many edits at least one segment is untouched. Every distinct line
-puts its segments into an index keyed by (length, segment number, content), and probes, for each length
-within the threshold, the substrings at which a segment of such a line can lie if the segments before
+threshold+1 even segments (fewer if it's so short that fewer edits are similar): of so many edits at least one segment is
+untouched. Every distinct line puts its segments into an index keyed by (length, segment number, content), and probes, for each
+length within the threshold, the substrings at which a segment of such a line can lie if the segments before
 it took at least as many edits as their number less one (multi-match selection). Lines that meet
 another are read again and get a signature, 64 parities of their character pairs: an edit changes at
-most four, so pairs that differ in more than 4*threshold are passed over. The others are verified with
-Spark's banded edit distance, which gives up beyond the threshold.
-
-A segment that very many lines share (``hot_rows``) is dealt anew by the 4*threshold+1 blocks of the
-signatures, one of which agrees where at most 4*threshold bits differ. No line is left out.
+most four, so pairs that differ in more than 4*threshold are passed over. The others are verified with a banded
+bit-parallel edit distance: a word of 2*threshold+1 bits for each number of edits holds the reached cells of the band
+in one column of the table, and a column takes a few shifts and ands.
+
+Only whether a line has an earlier similar one is asked, so its pairs aren't listed: first each line is held against the
+earliest line of the other side at each of its keys, in time linear in the entries; only lines that this
+doesn't settle (in a group of near copies, one) are held against all earlier ones. A key that very many lines
+share (``hot_rows``) is dealt anew then by the 4*threshold+1 blocks of the signatures, one of which agrees where at most
+4*threshold bits differ. No line is left out.
 """
 
 from __future__ import annotations
@@ -24,12 +29,13 @@ from pyspark.sql import functions as F
 from weft.session import materialize
 
 THRESHOLD = 2
-MIN_CHARS = 16
+SIMILARITY = 0.8
 HOT_ROWS = 256
 #: Rows of a table of ids up to which it's broadcast: 8 bytes each, under 2 MB.
 BROADCAST_IDS = 200_000
 BLANK = " \t\n\x0b\x0c\r"
 HAS_WORD = "[^\\x20\\x09-\\x0D]"
+SLACK = 1e-9
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -38,9 +44,19 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.where(F.trim("line", F.lit(BLANK)) != "")
 
 
-def _cuts(length: Column, threshold: int) -> list[tuple[Column, Column]]:
+def _allowed(longer: Column, threshold: int, similarity: float) -> Column:
+    """The edits that are similar in a pair whose longer line has so many characters."""
+    return F.least(F.lit(threshold), F.floor(longer * (1 - similarity) + SLACK).cast("int"))
+
+
+def _reach(length: Column, threshold: int, similarity: float) -> Column:
+    """The most edits in which a line is similar to one of its length or longer: d <= (1 - similarity) * (length + d)."""
+    return F.least(F.lit(threshold), F.floor(length * ((1 - similarity) / similarity) + SLACK).cast("int"))
+
+
+def _cuts(length: Column, edits: int) -> list[tuple[Column, Column]]:
     """(start from 0, size) of the even segments of a line; the last ones are longer."""
-    parts = threshold + 1
+    parts = edits + 1
     size, more = F.floor(length / parts).cast("int"), (length % parts).cast("int")
     out, start = [], F.lit(0)
     for i in range(parts):
@@ -50,20 +66,34 @@ def _cuts(length: Column, threshold: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _index_keys(line: Column, length: Column, threshold: int) -> Column:
-    return F.array(*[F.xxhash64(length, F.lit(i), F.substring(line, a + 1, n)) for i, (a, n) in enumerate(_cuts(length, threshold))])
+def _by_reach(length: Column, threshold: int, similarity: float, keys) -> Column:
+    """``keys(edits)`` for the number of edits that lines of this length need, none for lines that are similar to no other."""
+    reach, out = _reach(length, threshold, similarity), F.when(F.lit(False), F.array().cast("array<bigint>"))
+    for edits in range(1, threshold + 1):
+        out = out.when((reach == edits) & (length > edits), F.array(*keys(edits)))
+    return out.otherwise(F.array().cast("array<bigint>"))
 
 
-def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
+def _index_keys(line: Column, length: Column, threshold: int, similarity: float) -> Column:
+    return _by_reach(length, threshold, similarity, lambda edits: [F.xxhash64(length, F.lit(i), F.substring(line, a + 1, n)) for i, (a, n) in enumerate(_cuts(length, edits))])
+
+
+def _probe_keys(line: Column, length: Column, threshold: int, similarity: float) -> Column:
     """Keys of the substrings to look up: for other lines that are as long or shorter by up to the threshold."""
-    keys = []
+    out = []
     for less in range(threshold + 1):
         other = length - less
-        for i, (a, n) in enumerate(_cuts(other, threshold)):
-            # at most i edits before the segment, at most threshold-i behind it: the shift lies in both ranges
-            low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
-            keys += [F.xxhash64(other, F.lit(i), F.substring(line, a + shift + 1, n)) for shift in range(low, high + 1)]
-    return F.array(*keys)
+
+        def keys(edits: int, less: int = less, other: Column = other) -> list[Column]:
+            found = []
+            for i, (a, n) in enumerate(_cuts(other, edits)) if less <= edits else ():
+                # at most i edits before the segment, at most edits-i behind it: the shift lies in both ranges
+                low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+                found += [F.xxhash64(other, F.lit(i), F.substring(line, a + shift + 1, n)) for shift in range(low, high + 1)]
+            return found or [F.lit(None).cast("long")]
+
+        out.append(_by_reach(other, threshold, similarity, keys))
+    return F.array_compact(F.concat(*out))
 
 
 def _signature(chars: Column) -> Column:
@@ -83,67 +113,100 @@ def _blocks(signature: Column, threshold: int) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("number"), p.alias("bits")) for i, p in enumerate(parts)]))
 
 
+def edit_distance(rows: DataFrame, one: str, two: str, threshold: int, out: str) -> DataFrame:
+    """``rows`` with ``out``: the edit distance of the arrays of characters ``one`` and ``two``, null beyond the threshold.
+
+    Bit k of word e says that cell (i, j) of the table, i = j + k - threshold, is reached with at most e edits. From one
+    column to the next a match keeps k, a substitution too with one edit more, an insertion moves to k-1, a deletion
+    within the column to k+1."""
+    width, zero = 2 * threshold + 1, F.lit(0).cast("long")
+    window = lambda c, j: sum((F.when(F.get(one, j + (k - threshold)) == c, F.lit(1 << k).cast("long")).otherwise(zero) for k in range(width)), zero)
+    start = F.struct(*[F.lit(sum(1 << k for k in range(threshold, threshold + e + 1)) & ((1 << width) - 1)).cast("long").alias(f"r{e}") for e in range(threshold + 1)])
+
+    def column(state: Column, match: Column) -> Column:
+        new = [state.r0.bitwiseAND(match)]
+        for e in range(1, threshold + 1):
+            old, more = state[f"r{e}"], state[f"r{e - 1}"]
+            cells = old.bitwiseAND(match).bitwiseOR(more).bitwiseOR(F.shiftright(more, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
+            new.append(cells.bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        return F.struct(*[x.alias(f"r{e}") for e, x in enumerate(new)])
+
+    rows = rows.withColumn("_masks", F.transform(two, window)).withColumn("_end", F.size(one) - F.size(two) + threshold)
+    rows = rows.withColumn("_cells", F.aggregate("_masks", start, column))
+    reached = lambda e: F.call_function("shiftright", F.col(f"_cells.r{e}"), F.col("_end")).bitwiseAND(F.lit(1).cast("long")) == 1
+    found = F.coalesce(*[F.when(F.col("_end").between(0, width - 1) & reached(e), F.lit(e)) for e in range(threshold + 1)])
+    return rows.withColumn(out, found).drop("_masks", "_end", "_cells")
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """Marked for broadcast if it's small, by count."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def _texts_of(asked: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(h, line)`` of the lines with these hashes ``h``, read again from where they stand first."""
+    """``(h, row, line_no, line)`` of the lines with these hashes ``h``, read again from where they stand first."""
     where = lines.join(_few(asked), "h", "left_semi").select("row", "line_no")
-    return texts.join(_few(where), ["row", "line_no"], "left_semi").select("h", "line")
+    return texts.join(_few(where), ["row", "line_no"], "left_semi").select("h", "row", "line_no", "line")
 
 
-def near_links(lines: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(a, b)``: hashes of two different lines within the threshold, a < b, once.
+def late_lines(lines: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(h)``: hashes of the lines that are similar to an earlier, different one, once.
 
-    ``lines``: the distinct lines (h, row, line_no, index_keys, probe_keys). ``texts``: (row, line_no, h, line).
+    ``lines``: the distinct lines (h, row, line_no, index_keys, probe_keys), standing first at (row, line_no).
+    ``texts``: (row, line_no, h, line).
     """
     entries = lambda keys, probes: lines.select("h", F.explode(keys).alias("key"), F.lit(probes).alias("probes"))
     emitted = entries("index_keys", False).unionByName(entries("probe_keys", True))
-    # first the keys at which different lines meet: a sum for each key, whatever its number of lines is; only these are paired
+    # first the keys at which different lines meet: a sum for each key, whatever its number of lines is; only these are looked at
     own = F.sum(F.when(F.col("probes"), 0).otherwise(1)).alias("n")
     keys = emitted.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), own).where("least <> most and n > 0").select("key", "n")
     keys = materialize(keys, "keys")
     live = materialize(emitted.join(_few(keys.select("key")), "key", "left_semi"), "live")
     read = _texts_of(live.select("h").distinct(), lines, texts).withColumn("chars", F.split("line", ""))
-    found = materialize(read.select("h", "line", _signature(F.col("chars")).alias("s")), "found")
-    signed = live.join(found.select("h", "s"), "h")
-    side = lambda df, probes, name, *more: df.where(F.col("probes") == probes).select("key", F.col("h").alias(name), F.col("s").alias(f"s{name}"), *more)
-    close = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 4 * threshold)
+    found = materialize(read.select("h", F.struct("row", "line_no").alias("at"), "chars", _signature(F.col("chars")).alias("s")), "found")
+    signed = materialize(live.join(found.select("h", "at", "s"), "h").select("key", "probes", "h", "at", "s"), "signed")
+    close = lambda s, t: F.bit_count(s.bitwiseXOR(t)) <= 4 * threshold
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those lines ``h`` of the pairs (h, other) that are similar to the other."""
+        one, two = found.select("h", F.col("chars").alias("one")), found.select(F.col("h").alias("other"), F.col("chars").alias("two"))
+        rows = edit_distance(pairs.distinct().join(one, "h").join(two, "other"), "one", "two", threshold, "edits")
+        return rows.where(F.col("edits") <= _allowed(F.greatest(F.size("one"), F.size("two")), threshold, similarity)).select("h").distinct()
+
+    entry = F.struct("at", "h", "s")
+    first = signed.groupBy("key").agg(F.min(F.when(~F.col("probes"), entry)).alias("held"), F.min(F.when(F.col("probes"), entry)).alias("asking"))
+    across = signed.join(first, "key").withColumn("o", F.when(F.col("probes"), F.col("held")).otherwise(F.col("asking")))
+    across = across.where((F.col("o.at") < F.col("at")) & (F.col("o.h") != F.col("h")) & close(F.col("s"), F.col("o.s")))
+    settled = materialize(verified(across.select("h", F.col("o.h").alias("other"))), "settled")
+    unsettled = signed.join(_few(settled), "h", "left_anti")
+
+    def earlier(later: DataFrame, all_: DataFrame, on: list[str]) -> DataFrame:
+        them = all_.select(*on, *[F.col(c).alias(f"o_{c}") for c in ("probes", "h", "at", "s")])
+        rows = later.join(them, on).where((F.col("probes") != F.col("o_probes")) & (F.col("o_at") < F.col("at")) & (F.col("h") != F.col("o_h")) & close(F.col("s"), F.col("o_s")))
+        return rows.select("h", F.col("o_h").alias("other"))
+
     hot = keys.where(F.col("n") > hot_rows).select("key")
     if hot.isEmpty():
-        x, y = side(signed, False, "a"), side(signed, True, "b")
-        met = x.join(y, (x["key"] == y["key"]) & close).select("a", "b")
+        pairs = earlier(unsettled, signed, ["key"])
     else:
-        many = _few(hot)
-        rest = signed.join(many, "key", "left_anti")
-        x, y = side(rest, False, "a"), side(rest, True, "b")
-        met = x.join(y, (x["key"] == y["key"]) & close).select("a", "b")
-        dealt = signed.join(many, "key", "left_semi").select("*", _blocks(F.col("s"), threshold).alias("block"))
-        x, y = side(dealt, False, "a", "block"), side(dealt, True, "b", "block")
-        met = met.unionByName(x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & close).select("a", "b"))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = found.select(F.col("h").alias("a"), F.col("line").alias("line_a")), found.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
-    return met.join(one, "a").join(two, "b").where(F.levenshtein("line_a", "line_b", threshold) >= 0).select("a", "b").distinct()
-
-
-def decide(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
+        many, block = _few(hot), _blocks(F.col("s"), threshold).alias("block")
+        pairs = earlier(unsettled.join(many, "key", "left_anti"), signed.join(many, "key", "left_anti"), ["key"])
+        pairs = pairs.unionByName(earlier(unsettled.join(many, "key", "left_semi").select("*", block), signed.join(many, "key", "left_semi").select("*", block), ["key", "block"]))
+    return settled.unionByName(verified(pairs))
+
+
+def decide(docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(row, repeated, similar)``: the numbers of the lines to remove from each row of ``docs`` (row, text) that has such lines."""
     lines = _lines(docs).withColumn("length", F.char_length("line")).withColumn("h", F.xxhash64("line"))
-    long = F.col("length") >= max(min_chars, threshold + 1)
-    none = F.array().cast("array<bigint>")
     told = lines.select(
         "h", F.xxhash64(F.lit("second"), "line").alias("h2"), "row", "line_no",
-        F.when(long, _index_keys(F.col("line"), F.col("length"), threshold)).otherwise(none).alias("index_keys"),
-        F.when(long, _probe_keys(F.col("line"), F.col("length"), threshold)).otherwise(none).alias("probe_keys"),
+        _index_keys(F.col("line"), F.col("length"), threshold, similarity).alias("index_keys"),
+        _probe_keys(F.col("line"), F.col("length"), threshold, similarity).alias("probe_keys"),
     )
     first = F.min(F.struct("row", "line_no", "index_keys", "probe_keys"))
     distinct = materialize(told.groupBy("h", "h2").agg(first.alias("first"), F.count("*").alias("n")).select("h", "h2", "n", "first.*"), "lines")
-    near = near_links(distinct.where(F.size("index_keys") > 0), lines.select("row", "line_no", "h", "line"), threshold, hot_rows)
-    spot = distinct.select("h", F.struct("row", "line_no").alias("at"))
-    placed = near.join(spot.select(F.col("h").alias("a"), F.col("at").alias("at_a")), "a").join(spot.select(F.col("h").alias("b"), F.col("at").alias("at_b")), "b")
-    late = materialize(placed.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct(), "late")
+    asked = distinct.where((F.size("index_keys") > 0) | (F.size("probe_keys") > 0))
+    late = materialize(late_lines(asked, lines.select("row", "line_no", "h", "line"), threshold, similarity, hot_rows), "late")
     # lines that are more than one, or late: all others stay and aren't looked up
     marked = distinct.select("h", "h2", "n", "row", "line_no").join(late.withColumn("late", F.lit(True)), "h", "left").where("n > 1 or late")
     marked = marked.select("h", "h2", F.struct("row", "line_no").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
@@ -153,13 +216,13 @@ def decide(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHA
     return some
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot_rows: int = HOT_ROWS, counts: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, hot_rows: int = HOT_ROWS, counts: bool = True) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` without its repeated and similar lines, and three more columns:
     ``n_lines`` (with a word), ``n_repeated``, ``n_similar`` (removed ones).
 
-    A line is similar if it isn't equal to an earlier one but within ``threshold`` edits of one; that earlier line
-    counts whether or not it is itself removed. Lines shorter than ``min_chars`` are only removed as equal
-    ones. Blank lines always stay. Order is by doc_id, then by a hash of the text for rows with one doc_id
+    A line is similar if it isn't equal to an earlier one but within ``threshold`` edits of one, at most a share of
+    1 - ``similarity`` of the longer one's characters; that earlier line counts whether or not it is itself
+    removed. So lines under 4 characters are only ever equal. Blank lines always stay. Order is by doc_id, then by a hash of the text for rows with one doc_id
     (null ids come first). Null texts stay null with zero counts; a text whose lines all go becomes empty;
     an empty table gives no rows. Without ``counts`` the columns are those of ``docs``; with them, columns of ``docs`` that
     are named like a count are left out. Names that clash with working columns are kept apart.
@@ -168,7 +231,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     ids, text = F.col("doc.doc_id").cast("long"), F.col("doc.text").cast("string")
     # a row is told by its id and its text's hash; rows equal in both are one for the decision
     keyed = kept.select("doc", F.struct(ids.alias("id"), F.xxhash64(text).alias("hash")).alias("row"), text.alias("text"))
-    left = keyed.join(decide(keyed.select("row", "text"), threshold, min_chars, hot_rows), "row", "left")
+    left = keyed.join(decide(keyed.select("row", "text"), threshold, similarity, hot_rows), "row", "left")
     lines = F.split("text", "\n", -1)
     drop = F.concat("repeated", "similar")
     new = F.when(F.col("repeated").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n"))
