@@ -9,7 +9,7 @@ threshold+1 even segments (fewer if it's so short that fewer edits are similar):
 untouched. Every distinct line puts its segments into an index keyed by (length, segment number, content), and probes, for each
 length within the threshold, the substrings at which a segment of such a line can lie if the segments before
 it took at least as many edits as their number less one (multi-match selection). Lines that meet
-another are read again and get a signature, 64 parities of their character pairs: an edit changes at
+another get a signature, 64 parities of their character pairs: an edit changes at
 most four, so pairs that differ in more than 4*threshold are passed over. The others are verified with a banded
 bit-parallel edit distance: a word of 2*threshold+1 bits for each number of edits holds the reached cells of the band
 in one column of the table, and a column takes a few shifts and ands.
@@ -51,49 +51,32 @@ def _allowed(longer: Column, threshold: int, similarity: float) -> Column:
 
 def _reach(length: Column, threshold: int, similarity: float) -> Column:
     """The most edits in which a line is similar to one of its length or longer: d <= (1 - similarity) * (length + d)."""
-    return F.least(F.lit(threshold), F.floor(length * ((1 - similarity) / similarity) + SLACK).cast("int"))
+    return F.greatest(F.lit(0), F.least(F.lit(threshold), F.floor(length * ((1 - similarity) / similarity) + SLACK).cast("int")))
 
 
-def _cuts(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, size) of the even segments of a line; the last ones are longer."""
-    parts = edits + 1
-    size, more = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    out, start = [], F.lit(0)
-    for i in range(parts):
-        own = size + F.when(F.lit(i) >= F.lit(parts) - more, 1).otherwise(0)
-        out.append((start, own))
-        start = start + own
-    return out
+def _with_keys(lines: DataFrame, threshold: int, similarity: float) -> DataFrame:
+    """``lines`` (line, ...) with ``index_keys`` and ``probe_keys``; null keys stand for those that a short line hasn't.
 
+    Segments are even, the last ones longer; a line that is similar to others in fewer edits than the threshold has
+    fewer. A line probes for others that are as long or shorter by up to the threshold. What is used often is a column of its own."""
+    lines = lines.withColumn("_n0", F.char_length("line")).withColumns({f"_n{less}": F.col("_n0") - less for less in range(1, threshold + 1)})
+    lines = lines.withColumns({f"_e{less}": _reach(F.col(f"_n{less}"), threshold, similarity) for less in range(threshold + 1)})
+    whole = lambda a, b: F.call_function("div", a, b).cast("int")
+    lines = lines.withColumns({f"_s{less}": whole(F.col(f"_n{less}"), F.col(f"_e{less}") + 1) for less in range(threshold + 1)})
+    # the number of the first longer segment
+    lines = lines.withColumns({f"_m{less}": F.col(f"_e{less}") + 1 - (F.col(f"_n{less}") - F.col(f"_s{less}") * (F.col(f"_e{less}") + 1)) for less in range(threshold + 1)})
 
-def _by_reach(length: Column, threshold: int, similarity: float, keys) -> Column:
-    """``keys(edits)`` for the number of edits that lines of this length need, none for lines that are similar to no other."""
-    reach, out = _reach(length, threshold, similarity), F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for edits in range(1, threshold + 1):
-        out = out.when((reach == edits) & (length > edits), F.array(*keys(edits)))
-    return out.otherwise(F.array().cast("array<bigint>"))
+    def key(less: int, i: int, shift: int) -> Column:
+        length, edits, size, longer = (F.col(f"_{c}{less}") for c in "nesm")
+        start, own = size * i + F.greatest(F.lit(0), F.lit(i) - longer), size + F.when(longer <= i, 1).otherwise(0)
+        there = (edits >= max(i, less, 1)) & (size > 0)
+        return F.when(there, F.xxhash64(length, F.lit(i), F.substring("line", start + (shift + 1), own)))
 
-
-def _index_keys(line: Column, length: Column, threshold: int, similarity: float) -> Column:
-    return _by_reach(length, threshold, similarity, lambda edits: [F.xxhash64(length, F.lit(i), F.substring(line, a + 1, n)) for i, (a, n) in enumerate(_cuts(length, edits))])
-
-
-def _probe_keys(line: Column, length: Column, threshold: int, similarity: float) -> Column:
-    """Keys of the substrings to look up: for other lines that are as long or shorter by up to the threshold."""
-    out = []
-    for less in range(threshold + 1):
-        other = length - less
-
-        def keys(edits: int, less: int = less, other: Column = other) -> list[Column]:
-            found = []
-            for i, (a, n) in enumerate(_cuts(other, edits)) if less <= edits else ():
-                # at most i edits before the segment, at most edits-i behind it: the shift lies in both ranges
-                low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-                found += [F.xxhash64(other, F.lit(i), F.substring(line, a + shift + 1, n)) for shift in range(low, high + 1)]
-            return found or [F.lit(None).cast("long")]
-
-        out.append(_by_reach(other, threshold, similarity, keys))
-    return F.array_compact(F.concat(*out))
+    index = [key(0, i, 0) for i in range(threshold + 1)]
+    # at most i edits before the segment, at most threshold-i behind it: the shift lies in both ranges
+    shifts = lambda less, i: range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1)
+    probe = [key(less, i, shift) for less in range(threshold + 1) for i in range(threshold + 1) for shift in shifts(less, i)]
+    return lines.withColumns({"index_keys": F.array(*index), "probe_keys": F.array(*probe)}).drop(*[f"_{c}{less}" for c in "nesm" for less in range(threshold + 1)])
 
 
 def _signature(chars: Column) -> Column:
@@ -143,26 +126,19 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def _texts_of(asked: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(h, row, line_no, line)`` of the lines with these hashes ``h``, read again from where they stand first."""
-    where = lines.join(_few(asked), "h", "left_semi").select("row", "line_no")
-    return texts.join(_few(where), ["row", "line_no"], "left_semi").select("h", "row", "line_no", "line")
-
-
-def late_lines(lines: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
+def late_lines(lines: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(h)``: hashes of the lines that are similar to an earlier, different one, once.
 
-    ``lines``: the distinct lines (h, row, line_no, index_keys, probe_keys), standing first at (row, line_no).
-    ``texts``: (row, line_no, h, line).
+    ``lines``: the distinct lines (h, row, line_no, line, index_keys, probe_keys), standing first at (row, line_no).
     """
-    entries = lambda keys, probes: lines.select("h", F.explode(keys).alias("key"), F.lit(probes).alias("probes"))
+    entries = lambda keys, probes: lines.select("h", F.explode(keys).alias("key"), F.lit(probes).alias("probes")).where("key is not null")
     emitted = entries("index_keys", False).unionByName(entries("probe_keys", True))
     # first the keys at which different lines meet: a sum for each key, whatever its number of lines is; only these are looked at
     own = F.sum(F.when(F.col("probes"), 0).otherwise(1)).alias("n")
     keys = emitted.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), own).where("least <> most and n > 0").select("key", "n")
     keys = materialize(keys, "keys")
     live = materialize(emitted.join(_few(keys.select("key")), "key", "left_semi"), "live")
-    read = _texts_of(live.select("h").distinct(), lines, texts).withColumn("chars", F.split("line", ""))
+    read = lines.join(_few(live.select("h").distinct()), "h", "left_semi").withColumn("chars", F.split("line", ""))
     found = materialize(read.select("h", F.struct("row", "line_no").alias("at"), "chars", _signature(F.col("chars")).alias("s")), "found")
     signed = materialize(live.join(found.select("h", "at", "s"), "h").select("key", "probes", "h", "at", "s"), "signed")
     close = lambda s, t: F.bit_count(s.bitwiseXOR(t)) <= 4 * threshold
@@ -197,21 +173,15 @@ def late_lines(lines: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, s
 
 def decide(docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(row, repeated, similar)``: the numbers of the lines to remove from each row of ``docs`` (row, text) that has such lines."""
-    lines = _lines(docs).withColumn("length", F.char_length("line")).withColumn("h", F.xxhash64("line"))
-    told = lines.select(
-        "h", F.xxhash64(F.lit("second"), "line").alias("h2"), "row", "line_no",
-        _index_keys(F.col("line"), F.col("length"), threshold, similarity).alias("index_keys"),
-        _probe_keys(F.col("line"), F.col("length"), threshold, similarity).alias("probe_keys"),
-    )
-    first = F.min(F.struct("row", "line_no", "index_keys", "probe_keys"))
-    distinct = materialize(told.groupBy("h", "h2").agg(first.alias("first"), F.count("*").alias("n")).select("h", "h2", "n", "first.*"), "lines")
-    asked = distinct.where((F.size("index_keys") > 0) | (F.size("probe_keys") > 0))
-    late = materialize(late_lines(asked, lines.select("row", "line_no", "h", "line"), threshold, similarity, hot_rows), "late")
+    lines = _lines(docs).withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
+    first = F.min(F.struct("row", "line_no", "line"))
+    once = lines.groupBy("h", "h2").agg(first.alias("first"), F.count("*").alias("n")).select("h", "h2", "n", "first.*")
+    distinct = materialize(_with_keys(once, threshold, similarity), "lines")
+    late = materialize(late_lines(distinct.select("h", "row", "line_no", "line", "index_keys", "probe_keys"), threshold, similarity, hot_rows), "late")
     # lines that are more than one, or late: all others stay and aren't looked up
     marked = distinct.select("h", "h2", "n", "row", "line_no").join(late.withColumn("late", F.lit(True)), "h", "left").where("n > 1 or late")
     marked = marked.select("h", "h2", F.struct("row", "line_no").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
-    own = lines.select("h", F.xxhash64(F.lit("second"), "line").alias("h2"), "row", "line_no")
-    gone = own.join(marked, ["h", "h2"]).withColumn("again", F.struct("row", "line_no") != F.col("first")).where("again or late")
+    gone = lines.select("h", "h2", "row", "line_no").join(marked, ["h", "h2"]).withColumn("again", F.struct("row", "line_no") != F.col("first")).where("again or late")
     some = gone.groupBy("row").agg(F.collect_list(F.when(F.col("again"), F.col("line_no"))).alias("repeated"), F.collect_list(F.when(~F.col("again"), F.col("line_no"))).alias("similar"))
     return some
 
