@@ -9,7 +9,7 @@ threshold+1 even segments (fewer if it's so short that fewer edits are similar):
 untouched. Every distinct line puts its segments into an index keyed by (length, segment number, content), and probes, for each
 length within the threshold, the substrings at which a segment of such a line can lie if the segments before
 it took at least as many edits as their number less one (multi-match selection). Lines that meet
-another get a signature, 64 parities of their character pairs: an edit changes at
+another are read again and get a signature, 64 parities of their character pairs: an edit changes at
 most four, so pairs that differ in more than 4*threshold are passed over. The others are verified with a banded
 bit-parallel edit distance: a word of 2*threshold+1 bits for each number of edits holds the reached cells of the band
 in one column of the table, and a column takes a few shifts and ands.
@@ -126,10 +126,17 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def late_lines(lines: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _texts_of(asked: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(h, row, line_no, line)`` of the lines with these hashes ``h``, read again from where they stand first."""
+    where = lines.join(_few(asked), "h", "left_semi").select("row", "line_no")
+    return texts.join(_few(where), ["row", "line_no"], "left_semi").select("h", "row", "line_no", "line")
+
+
+def late_lines(lines: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(h)``: hashes of the lines that are similar to an earlier, different one, once.
 
-    ``lines``: the distinct lines (h, row, line_no, line, index_keys, probe_keys), standing first at (row, line_no).
+    ``lines``: the distinct lines (h, row, line_no, index_keys, probe_keys), standing first at (row, line_no).
+    ``texts``: (row, line_no, h, line).
     """
     entries = lambda keys, probes: lines.select("h", F.explode(keys).alias("key"), F.lit(probes).alias("probes")).where("key is not null")
     emitted = entries("index_keys", False).unionByName(entries("probe_keys", True))
@@ -138,7 +145,7 @@ def late_lines(lines: DataFrame, threshold: int = THRESHOLD, similarity: float =
     keys = emitted.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), own).where("least <> most and n > 0").select("key", "n")
     keys = materialize(keys, "keys")
     live = materialize(emitted.join(_few(keys.select("key")), "key", "left_semi"), "live")
-    read = lines.join(_few(live.select("h").distinct()), "h", "left_semi").withColumn("chars", F.split("line", ""))
+    read = _texts_of(live.select("h").distinct(), lines, texts).withColumn("chars", F.split("line", ""))
     found = materialize(read.select("h", F.struct("row", "line_no").alias("at"), "chars", _signature(F.col("chars")).alias("s")), "found")
     signed = materialize(live.join(found.select("h", "at", "s"), "h").select("key", "probes", "h", "at", "s"), "signed")
     close = lambda s, t: F.bit_count(s.bitwiseXOR(t)) <= 4 * threshold
@@ -174,10 +181,10 @@ def late_lines(lines: DataFrame, threshold: int = THRESHOLD, similarity: float =
 def decide(docs: DataFrame, threshold: int = THRESHOLD, similarity: float = SIMILARITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(row, repeated, similar)``: the numbers of the lines to remove from each row of ``docs`` (row, text) that has such lines."""
     lines = _lines(docs).withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
-    first = F.min(F.struct("row", "line_no", "line"))
-    once = lines.groupBy("h", "h2").agg(first.alias("first"), F.count("*").alias("n")).select("h", "h2", "n", "first.*")
-    distinct = materialize(_with_keys(once, threshold, similarity), "lines")
-    late = materialize(late_lines(distinct.select("h", "row", "line_no", "line", "index_keys", "probe_keys"), threshold, similarity, hot_rows), "late")
+    told = _with_keys(lines, threshold, similarity)
+    first = F.min(F.struct("row", "line_no", "index_keys", "probe_keys"))
+    distinct = materialize(told.groupBy("h", "h2").agg(first.alias("first"), F.count("*").alias("n")).select("h", "h2", "n", "first.*"), "lines")
+    late = materialize(late_lines(distinct, lines.select("row", "line_no", "h", "line"), threshold, similarity, hot_rows), "late")
     # lines that are more than one, or late: all others stay and aren't looked up
     marked = distinct.select("h", "h2", "n", "row", "line_no").join(late.withColumn("late", F.lit(True)), "h", "left").where("n > 1 or late")
     marked = marked.select("h", "h2", F.struct("row", "line_no").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
