@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.functions.files import natural_key
 from weft.operators.dedup import except_ci
 
 
@@ -71,8 +72,8 @@ def change_totals(edits: DataFrame) -> DataFrame:
 
 
 def image_groups(images: DataFrame) -> DataFrame:
-    """(page, paths) of extracted images (page, path), pages by number, those without one last."""
-    grouped = images.groupBy("page").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    """(page, paths) of extracted images (page, path), pages by number, those without one last; paths in natural order."""
+    grouped = images.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct(natural_key(F.col("path")).alias("k"), "path"))), lambda x: x.path).alias("paths"))
     return grouped.orderBy(F.col("page").asc_nulls_last()).select(F.coalesce(F.concat(F.lit("Page "), F.col("page").cast("string")), F.lit("Document")).alias("page"), "paths")
 
 

@@ -94,11 +94,11 @@ SELECT id, other, round(overlap / sqrt(a.size * b.size), 6) AS score FROM top JO
 def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names with a letter left out, and the part that each is most like."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    broken = parts.where("id % 40 = 0").select(F.concat(F.substring("name", 1, 2), F.col("name").substr(F.lit(4), F.char_length("name"))).alias("target"))
+    broken = parts.select(F.concat(F.substring("name", 1, 2), F.col("name").substr(F.lit(4), F.char_length("name"))).alias("target"))
     return L.suggest_targets(broken, parts, ["name"]).select("target", "id", F.round("similarity", 6).alias("similarity"))
 
 
-FUZZY_SQL = """WITH p AS (SELECT p_partkey AS id, p_name AS name, lower(trim(p_name)) AS k FROM part), b AS (SELECT DISTINCT substr(name, 1, 2) || substr(name, 4) AS target, lower(trim(substr(name, 1, 2) || substr(name, 4))) AS tk FROM p WHERE id % 40 = 0),
+FUZZY_SQL = """WITH p AS (SELECT p_partkey AS id, p_name AS name, lower(trim(p_name)) AS k FROM part), b AS (SELECT DISTINCT substr(name, 1, 2) || substr(name, 4) AS target, lower(trim(substr(name, 1, 2) || substr(name, 4))) AS tk FROM p),
 g AS (SELECT DISTINCT target, substr(tk, i, 2) AS g FROM (SELECT target, tk, unnest(range(1, length(tk))) AS i FROM b)), x AS (SELECT DISTINCT id, substr(k, i, 2) AS g FROM (SELECT id, k, unnest(range(1, length(k))) AS i FROM p)),
 c AS (SELECT target, id, count(*) AS n FROM g JOIN x USING (g) GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY n DESC, id) AS r FROM c QUALIFY r <= 64),
 s AS (SELECT top.target, top.id, r, CASE WHEN tk = k THEN 1 WHEN contains(k, tk) OR contains(tk, k) THEN 0.82 WHEN length(tk) < 5 OR length(k) < 5 THEN 0 ELSE 1 - levenshtein(tk, k) / greatest(length(tk), length(k)) END::DOUBLE AS similarity FROM top JOIN b USING (target) JOIN p ON p.id = top.id),

@@ -140,15 +140,16 @@ SELECT src, dst, (a + b + c + d)::BIGINT AS score, concat_ws('; ', CASE WHEN a >
 
 
 def connected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the links of weight three and more."""
-    e = edges(spark, sf_dir).where("weight >= 3")
-    return connected_components(e.select(F.col("src").alias("u"), F.col("dst").alias("v"))).select(F.col("node").alias("id"), "component")
+    """Components of all links."""
+    return connected_components(edges(spark, sf_dir).select(F.col("src").alias("u"), F.col("dst").alias("v"))).select(F.col("node").alias("id"), "component")
 
 
-COMPONENT_SQL = """WITH RECURSIVE edges AS (
-    SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 3
-), nbr AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach(id, r) AS (SELECT src, src FROM nbr UNION SELECT reach.id, nbr.dst FROM reach JOIN nbr ON reach.r = nbr.src)
-SELECT id, min(r) AS component FROM reach GROUP BY 1"""
+#: One row for each part, lowered until nothing changes.
+COMPONENT_SQL = f"""WITH RECURSIVE {EDGES_SQL}, nbr AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), least(id, component) USING KEY (id) AS (
+    SELECT src, src FROM nbr GROUP BY 1
+    UNION
+    SELECT nbr.dst, min(least.component) FROM least JOIN nbr ON nbr.src = least.id JOIN recurring.least AS r ON r.id = nbr.dst WHERE least.component < r.component GROUP BY 1
+) SELECT id, component FROM least"""
 
 
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,22 +62,19 @@ NAMES_SQL = """SELECT c_custkey, 'n' || c_nationkey || CASE WHEN r > 1 THEN '-'
 
 
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by the natural order of their addresses."""
-    from pyspark.sql import Window
+    """All pages by the natural order of their addresses, with the key that gives it."""
+    return table(spark, sf_dir, "pages").select("page_id", files.natural_key(F.col("url")).alias("key")).orderBy("key", "page_id")
 
-    p = table(spark, sf_dir, "nation").select(F.concat(F.lit("File "), (F.col("n_nationkey") * 7 % 25).cast("string"), F.lit(".txt")).alias("name"))
-    return p.select("name", F.row_number().over(Window.orderBy(files.natural_key(F.col("name")))).cast("long").alias("place"))
 
-
-NATURAL_SQL = "SELECT 'File ' || (n_nationkey * 7 % 25) || '.txt' AS name, row_number() OVER (ORDER BY n_nationkey * 7 % 25) AS place FROM nation"
+NATURAL_SQL = r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(url), '\d+|\D+'), lambda x: CASE WHEN regexp_full_match(x, '\d+') THEN lpad(x, 18, '0') ELSE x END), '') AS key FROM pages"""
 
 
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs of the passages' first words."""
-    return table(spark, sf_dir, "benchmark").select("item_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    """Slugs of whole passages; a slug's own limit is 50 characters."""
+    return table(spark, sf_dir, "benchmark").select("item_id", T.slug(F.col("text")).alias("slug"))
 
 
-SLUG_SQL = r"""SELECT item_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 60))), '\s+', '-', 'g'), '[^\p{L}\p{N}-]', '', 'g'), 1, 50), '^-+|-+$', '', 'g') AS slug FROM benchmark"""
+SLUG_SQL = r"""SELECT item_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(trim(text)), '\s+', '-', 'g'), '[^\p{L}\p{N}-]', '', 'g'), 1, 50), '^-+|-+$', '', 'g') AS slug FROM benchmark"""
 
 QUERIES = {
     "knowledge_context": (knowledge_context, CONTEXT_SQL),
