@@ -1,12 +1,14 @@
 import io
 import struct
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from weft.sources import readers as R
 from weft.sources import sinks as K
+from weft.sources.pdf import pdf
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -42,10 +44,42 @@ def test_formats(spark):
     assert got["c.xlsx"][0] == "| name |  | 3 |\n| --- | --- | --- |\n| 2.46 |  |  |"
     assert got["d.odt"][0] == "one & two\nthree" and got["e.epub"][0] == "# Book\n\n**Author:** Me\n\n# Ch\n\ntext"
     assert got["f.org"][0] == "# T\n# Head\n```py\n* x\n```\n| a | b |\n| --- | --- |\n[l](http://u) **b** *i* `c`"
-    assert got["g.txt"] == ("é", None) and got["h.png"][0] == "[png file: h.png]" and got["i.pdf"] == (None, "pdf is not supported") and got["j.docx"][1].startswith("BadZipFile")
+    assert got["g.txt"] == ("é", None) and got["h.png"][0] == "[png file: h.png]" and got["i.pdf"] == (None, "ValueError: not a PDF file") and got["j.docx"][1].startswith("BadZipFile")
     assert got["k.html"][0] == "hi" and got["l.md"] == ("", None)
 
 
+def pdf_file(*objects, trailer=b"trailer << /Root 1 0 R >>"):
+    body = b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in enumerate(objects, 1))
+    return b"%PDF-1.5\n" + body + trailer
+
+
+def stream(data, head=b""):
+    return b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(data), head, data)
+
+
+def test_pdf():
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <00480069> endbfchar 2 beginbfrange <0002> <0004> <0061> <0005> <0006> [<4E2D> <6587>] endbfrange"
+    first = rb"BT /F1 12 Tf 72 700 Td (Left \(one\)\054) Tj 0 -14 Td [(ker) -20 (ned) -300 (gap)] TJ T* (caf\351) ' ET BI /W 1 ID (x) Tj EI /X1 Do"
+    second = b"BT /F2 10 Tf 1 0 0 1 72 700 Tm <000100020004> Tj 1 0 0 1 172 700 Tm <00050006> Tj ET"
+    catalog = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R 4 0 R 2 0 R] /Resources << /Font << /F1 5 0 R /F2 6 0 R >> /XObject << /X1 10 0 R >> >> >>"]
+    pages = [b"<< /Type /Page /Parent 2 0 R /Contents [7 0 R] >>", b"<< /Type /Page /Contents 8 0 R >>"]
+    fonts = [b"<< /Type /Font /Subtype /Type1 /Encoding << /Differences [44 /semicolon] >> >>", b"<< /Type /Font /Subtype /Type0 /ToUnicode 9 0 R >>"]
+    form = stream(b"BT /F1 9 Tf (in a form) Tj /X1 Do ET", b"/Subtype /Form")
+    parts = [*catalog, *pages, *fonts, stream(zlib.compress(first), b"/Filter /FlateDecode"), stream(second), stream(cmap), form]
+    whole = "Left (one);\nkerned gap\ncaf\u00e9\nin a form\n\nHiac \u4e2d\u6587"
+    assert pdf(pdf_file(*parts)) == whole
+    # an object stream, and no trailer
+    inner = b"1 0 2 %d " % (len(parts[0]) + 1) + parts[0] + b" " + parts[1]
+    packed = stream(zlib.compress(inner), b"/Type /ObjStm /N 2 /First %d /Filter [/FlateDecode]" % inner.index(b"<<"))
+    assert pdf(pdf_file(b"null", b"null", *parts[2:], packed, trailer=b"")) == whole
+    # the last version of an object holds
+    assert pdf(pdf_file(*parts) + b"\n8 0 obj " + stream(b"BT (new) Tj ET") + b" endobj").endswith("\n\nnew")
+    assert pdf(b"%PDF-1.4") == ""
+    for broken, error in ((pdf_file(*parts, trailer=b"trailer << /Encrypt 3 0 R >>"), "encrypted"), (b"", "not a PDF"), (pdf_file(*parts[:6], stream(b"x", b"/Filter /LZWDecode"), *parts[7:]), "LZWDecode"), (b"%PDF-1.4 1 0 obj " + b"[" * 500, "deeply")):
+        with pytest.raises(ValueError, match=error):
+            pdf(broken)
+
+
 def test_images(spark):
     small = PNG[:16] + struct.pack(">II", 20, 150) + b"rest"
     rows = [("a.docx", zipped({"m/1.png": PNG, "m/2.png": small})), ("b.docx", b"no"), ("c.docx", zipped({"m/x.txt": "t"}))]
