@@ -93,6 +93,7 @@ def test_wiki_and_listing(spark, tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     got = {r.path: (r.title, r.type, r.links, r.sources) for r in R.wiki_pages(spark, str(tmp_path / "wiki")).collect()}
+    assert R.wiki_pages(spark, str(tmp_path / "wiki"), cap=1).count() == 1
     assert got == {"a.md": ("T", "concept", [], ["s.pdf"]), "b/x-y.md": ("Head", "other", ["Other"], [])}
     assert [(r.path, r.is_dir) for r in R.listing(spark, str(tmp_path / "wiki")).collect()] == [("b", True), ("a.md", False), ("z.txt", False), ("b/x-y.md", False)]
     with pytest.raises(ValueError):
@@ -138,7 +139,7 @@ def test_vector_store(spark, tmp_path):
         with pytest.raises(ValueError):
             store.upsert(bad)
     store.compact()
-    assert len(store.table.versions()) == 1 and store.read().count() == 2
+    assert len(store.table.versions()) == 1 and store.read().count() == 2 and len(store.read().inputFiles()) == 1 and store.table.size() > 0
     part = spark.createDataFrame([("a", 0, "t", "", [9.0, 9.0], None), ("c", 0, "t", "", None, "failed")], schema + ", error string")
     assert store.rebuild(part) == {"chunks": 1, "failed": 1} and store.read().count() == 2
     assert store.rebuild(part.where("page_id = 'a'").withColumn("vector", F.array(F.lit(1.0)).cast("array<float>"))) == {"chunks": 1, "failed": 0}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import measures as M
 from weft.functions import text as T
+from weft.session import materialize
 
 SCAN_CAP = 10_000
 DEFAULT_RESULTS, MOST_RESULTS = 20, 50
@@ -69,12 +70,15 @@ def blend_graph(results: DataFrame, links: DataFrame, titles: DataFrame, limit:
     """Ranked results (page_id, score, rank) with graph neighbours at the end, ``limit`` rows.
 
     The best ``min(limit, 20)`` results are seeds; the best candidates up to the quota go behind the others, those
-    that were ranked keep their score, new ones get their graph score over 61. ``titles``: (page_id, title).
+    that were ranked keep their score, new ones get their graph score over 61. ``titles``: (page_id, title). The results, which
+    the caller limits, and the few best candidates are each worked out once and written, as several joins read them.
     """
+    results = materialize(results, "ranked")
     named = results.join(titles, "page_id")
     seeds = named.where(F.col("rank") <= min(limit, M.GRAPH_SEEDS))
     best = graph_candidates(seeds, links).join(titles.select("page_id"), "page_id", "left_semi").orderBy(F.col("graph_score").desc(), "page_id").limit(M.graph_quota(limit, n_vector))
     best = best.withColumn("graph_rank", F.row_number().over(Window.orderBy(F.col("graph_score").desc(), "page_id")))
+    best = materialize(best, "neighbours")
     base = results.join(best.select("page_id"), "page_id", "left_anti")
     base = base.withColumn("place", F.row_number().over(Window.orderBy("rank")))
     taken = best.agg(F.count("*").alias("taken"))
@@ -94,15 +98,16 @@ def resolve_links(pages: DataFrame) -> DataFrame:
     return out.join(aliases, "alias").where("src <> dst").select("src", "dst").distinct()
 
 
-def search(pages: DataFrame, query: str, top_k: int | None = None, chunks: DataFrame | None = None, query_vector: Column | None = None) -> DataFrame:
+def search(pages: DataFrame, query: str, top_k: int | None = None, chunks: DataFrame | None = None, query_vector: Column | None = None, cap: int = SCAN_CAP) -> DataFrame:
     """Hybrid search over pages (path, title, content, links) and, where given, their chunks (page_id is the file's stem).
 
     Returns path, title, score, section (0 ranked, 1 graph), place, related_to, vector_score, in the final order: at most
-    ``top_k`` (1 to 50) rows.
+    ``top_k`` (1 to 50) rows. Only the best ``cap`` keyword hits are ranked, in one task; a page beyond them can come in by its
+    vector or its links alone, so a larger ``cap`` can change no row but through the fused score of such a page.
     """
     limit = clamp(top_k)
     hits = keyword_scores(pages, query)
-    pooled = ranked(hits.orderBy(F.col("score").desc(), "path").limit(SCAN_CAP)).withColumn("page_id", F.col("path"))
+    pooled = ranked(hits.orderBy(F.col("score").desc(), "path").limit(cap)).withColumn("page_id", F.col("path"))
     n_vector, vector = 0, None
     if chunks is not None and query_vector is not None:
         stems = pages.select("path", T.file_stem(F.col("path")).alias("stem")).groupBy("stem").agg(F.max("path").alias("page_id"))
@@ -114,7 +119,7 @@ def search(pages: DataFrame, query: str, top_k: int | None = None, chunks: DataF
         fused = fuse(pooled, vector).select("page_id", "score")
     else:
         fused = pooled.select("page_id", "score")
-    top = fused.orderBy(F.col("score").desc(), "page_id").limit(SCAN_CAP)
+    top = fused.orderBy(F.col("score").desc(), "page_id").limit(cap)
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "page_id")))
     titles = pages.select(F.col("path").alias("page_id"), "title")
     out = blend_graph(top, resolve_links(pages), titles, limit, n_vector).join(titles, "page_id", "left")

@@ -32,10 +32,11 @@ def files(spark: SparkSession, folder: str, content: bool = True, pattern: str |
     return df.select(*columns, *(["content"] if content else []))
 
 
-def wiki_pages(spark: SparkSession, folder: str, cap: int = 10_000) -> DataFrame:
-    """Pages of a wiki: path, title, type, content, links and sources of its Markdown files, the first ``cap`` by path (the
-    scan's own limit), hidden files left out."""
-    found = files(spark, folder, pattern="*.md").where(~T.hidden(F.col("path"))).orderBy("path").limit(cap)
+def wiki_pages(spark: SparkSession, folder: str, cap: int | None = None) -> DataFrame:
+    """Pages of a wiki: path, title, type, content, links and sources of its Markdown files, hidden files left out: all of them, or
+    the first ``cap`` by path where that is given."""
+    found = files(spark, folder, pattern="*.md").where(~T.hidden(F.col("path")))
+    found = found if cap is None else found.orderBy("path").limit(cap)
     text = F.decode("content", "UTF-8")
     rows = found.select("path", text.alias("content"), T.file_name(F.col("path")).alias("name"))
     return rows.select("path", T.title(F.col("content"), F.col("name")).alias("title"), T.page_type(F.col("content")).alias("type"), "content", T.wikilinks(F.col("content")).alias("links"), T.list_field(F.col("content"), "sources").alias("sources"))

@@ -41,6 +41,12 @@ class VersionedTable:
         out = df.coalesce(files) if files else df
         out.write.mode("overwrite").parquet(f"{self.path}/v={(now[-1] if now else 0) + 1}")
 
+    def size(self) -> int:
+        """Bytes of the current version."""
+        now = self.versions()
+        fs, _ = self._fs()
+        return fs.getContentSummary(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={now[-1]}")).getLength() if now else 0
+
     def prune(self, keep: int = 1) -> None:
         """Drop all but the newest versions."""
         fs, _ = self._fs()
@@ -52,6 +58,7 @@ class VersionedTable:
         fs.delete(where, True)
 
 
+FILE_BYTES = 256 * 1024 * 1024
 CHUNKS = "chunk_id string, page_id string, chunk_index int, chunk_text string, heading_path string, vector array<float>"
 
 
@@ -104,10 +111,10 @@ class VectorStore:
         finally:
             self.read = read  # type: ignore[method-assign]
 
-    def compact(self, files: int = 1) -> None:
-        """Rewrite into few files and drop old versions."""
+    def compact(self, files: int | None = None) -> None:
+        """Rewrite into few files, one for each ``FILE_BYTES`` unless a number is given, and drop old versions."""
         if self.table.versions():
-            self.table.write(self.read(), files)
+            self.table.write(self.read(), files or -(-self.table.size() // FILE_BYTES) or 1)
             self.table.prune()
 
     def counts(self) -> DataFrame:
