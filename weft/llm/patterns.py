@@ -55,12 +55,12 @@ def click_events(clicks: DataFrame, one_in: int = 5) -> DataFrame:
 
 def bins(events: DataFrame, types: DataFrame, span: int, width: int = BIN_SECONDS * SECOND) -> DataFrame:
     """``(client, bin, events)``: the sorted distinct events (t, code) of each client's bins, with those up to ``span`` after
-    the bin; bins without an event of their own are left out."""
+    the bin; bins without an event of their own are left out. A client's bins stand together, so that a batch gives a client's pattern once."""
     coded = events.join(F.broadcast(types), "type").select("client", "t", "code", F.expr(f"(t - pmod(t, {width}L)) div {width}L").alias("bin"))
     before = F.when(F.col("t") - F.col("bin") * width <= span, F.array(F.col("bin"), F.col("bin") - 1)).otherwise(F.array("bin"))
     dealt = coded.select("client", F.explode(before).alias("bin"), "t", "code").repartitionByRange("client", "bin")
     held = dealt.groupBy("client", "bin").agg(F.sort_array(F.collect_set(F.struct("t", "code"))).alias("events"))
-    return held.where(F.col("events")[0]["t"] < (F.col("bin") + 1) * width)
+    return held.where(F.col("events")[0]["t"] < (F.col("bin") + 1) * width).sortWithinPartitions("client", "bin")
 
 
 class _Timeline:
