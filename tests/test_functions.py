@@ -208,6 +208,20 @@ def test_html(spark):
     began = time.time()
     deep = html.markdown(html.article("<p>" + "<b><i><a href='u'>" * 200 + "x"))
     assert "x" in deep and time.time() - began < 1
+    nested = "".join(f"<table><tbody><tr><td>cell {i}, of some length | here</td><td>" for i in range(60)) + "inmost" + "</td></tr></tbody></table>" * 60
+    began = time.time()
+    for page in (nested, "<div>" + "".join(f"<div><p>Paragraph {i}, long enough to give points, with <a href='u'>a link</a>." for i in range(2000))):
+        out = html.markdown(html.article(page))
+        assert all(out.count(word) == 1 for word in (("inmost",) if page is nested else ("Paragraph 1999,",)))
+    assert time.time() - began < 2
+    shown = html.markdown(html.parse(nested))
+    assert all(shown.count(f"cell {i},") == 1 for i in range(60)) and len(shown) < 2 * len(nested) and shown.count("\\|") == 60
+    for text in ("", "  a, b ", " <a href='#x'> c ,d </a> <p> </p>", "<a href='u'>  all </a> "):
+        root = html.parse(f"<div>{text}</div>")
+        whole, links = root.text().strip(), [n for n in root.walk() if n.tag == "a"]
+        share = sum(len(n.text().strip()) * (0.3 if n.attrs["href"].startswith("#") else 1) for n in links)
+        m = html._measured(root)[id(root)]
+        assert (m.stripped, m.linked) == (len(whole), share)
     assert html.markdown(html.article("")) == "" and html.markdown(html.article("plain")) == "plain"
     assert value(spark, html.fallback_text(F.lit("<p>a &amp; b</p><style>x</style><br> c"))) == "a & b\nc"
     assert value(spark, html.truncated(F.lit("abc"), 2)).startswith("ab\n") and value(spark, html.readable(F.lit("<p>x</p>"))) == "x"

@@ -87,10 +87,50 @@ LIKELY = re.compile(r"\b(article|body|column|content|main|shadow)\b", re.I)
 SKIPPED = {"script", "style", "noscript", "nav", "header", "footer", "aside", "template", "iframe", "form", "button"}
 
 
-def _links_share(node: Node) -> float:
-    total = len(node.text().strip())
-    linked = sum(len(n.text().strip()) * (0.3 if n.attrs.get("href", "").startswith("#") else 1.0) for n in node.walk() if n.tag == "a")
-    return min(1.0, linked / total) if total else 0.0
+COMMAS = re.compile("[,،﹐︐︑⹁⸴⸲，]")
+
+
+class _Measure:
+    """Length without outer blanks, commas, and length of links of a node's text, added up from its children's once."""
+
+    __slots__ = ("n", "lead", "trail", "commas", "linked")
+
+    def __init__(self) -> None:
+        self.n = self.lead = self.trail = self.commas = 0
+        self.linked = 0.0
+
+    def add(self, n: int, lead: int, trail: int, commas: int, linked: float) -> None:
+        if lead == n:  # blank
+            self.lead += n if self.lead == self.n else 0
+            self.trail += n
+        else:
+            self.lead += lead if self.lead == self.n else 0
+            self.trail = trail
+        self.n, self.commas, self.linked = self.n + n, self.commas + commas, self.linked + linked
+
+    @property
+    def stripped(self) -> int:
+        return 0 if self.lead == self.n else self.n - self.lead - self.trail
+
+    @property
+    def links_share(self) -> float:
+        return min(1.0, self.linked / self.stripped) if self.stripped else 0.0
+
+
+def _measured(root: Node) -> dict[int, _Measure]:
+    """The measure of each node, by identity."""
+    found: dict[int, _Measure] = {}
+    for node in reversed(list(root.walk())):  # children come before their parents
+        out = found[id(node)] = _Measure()
+        for c in node.children:
+            if isinstance(c, str):
+                out.add(len(c), len(c) - len(c.lstrip()), len(c) - len(c.rstrip()), len(COMMAS.findall(c)), 0.0)
+            else:
+                m = found[id(c)]
+                out.add(m.n, m.lead, m.trail, m.commas, m.linked)
+        if node.tag == "a":
+            out.linked += out.stripped * (0.3 if node.attrs.get("href", "").startswith("#") else 1.0)
+    return found
 
 
 def _prune(node: Node) -> None:
@@ -109,27 +149,39 @@ def article(html: str) -> Node:
     """The node that holds the main text: paragraphs give points for length and commas to what is around them, less for links."""
     root = parse(html)
     _prune(root)
+    measures = _measured(root)
     for p in [n for n in root.walk() if n.tag in ("p", "td", "pre", "section", "h2", "h3", "h4", "h5", "h6")]:
-        text = p.text().strip()
-        if len(text) < 25:
+        length = measures[id(p)].stripped
+        if length < 25:
             continue
-        points = 1 + len(re.split("[,،﹐︐︑⹁⸴⸲，]", text)) + min(len(text) // 100, 3)
+        points = 2 + measures[id(p)].commas + min(length // 100, 3)
         up, level = p.parent, 0
         while up is not None and up.parent is not None and level < 5:
             up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
-    best = max((n for n in root.walk() if n.score > 0), key=lambda n: n.score * (1 - _links_share(n)), default=None)
+    best = max((n for n in root.walk() if n.score > 0), key=lambda n: n.score * (1 - measures[id(n)].links_share), default=None)
     return best or next((n for n in root.walk() if n.tag == "body"), root)
 
 
 def markdown(node: Node) -> str:
-    """A node as Markdown: headings, emphasis, links, images, lists, quotes, code, tables and rules."""
+    """A node as Markdown: headings, emphasis, links, images, lists, quotes, code, tables and rules. A table in a table's cell
+    gives the text of its cells, once."""
+    cells = 0
 
     def inner(n: Node) -> str:
         return "".join(re.sub(r"\s+", " ", c) if isinstance(c, str) else block(c) for c in n.children)
 
+    def own_rows(n: Node) -> list[Node]:
+        """The rows of a table, not those of tables in its cells."""
+        parts = [c for c in n.children if isinstance(c, Node)]
+        return [r for c in parts for r in ([c] if c.tag == "tr" else [x for x in c.children if isinstance(x, Node) and x.tag == "tr"] if c.tag in ("thead", "tbody", "tfoot") else [])]
+
     def rows(n: Node) -> list[list[str]]:
-        return [[re.sub(r"\s*\n\s*", " ", inner(c).strip()).replace("|", "\\|") for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in n.walk() if r.tag == "tr"]
+        nonlocal cells
+        cells += 1
+        found = [[re.sub(r"\s*\n\s*", " ", inner(c).strip()) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in own_rows(n)]
+        cells -= 1
+        return found
 
     def block(n: Node) -> str:
         if n.tag in SKIPPED:
@@ -161,6 +213,9 @@ def markdown(node: Node) -> str:
             return "\n\n" + "\n".join((f"{i}. " if n.tag == "ol" else "- ") + inner(c).strip().replace("\n", "\n  ") for i, c in enumerate(items, 1)) + "\n\n"
         if n.tag == "table":
             table = rows(n)
+            if cells:
+                return "\n" + " ".join(filter(None, (c for r in table for c in r))) + "\n"
+            table = [[c.replace("|", "\\|") for c in r] for r in table]
             width = max(map(len, table), default=0)
             lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in table if r]
             return "\n\n" + "\n".join([*lines[:1], "|" + " --- |" * width, *lines[1:]]) + "\n\n" if lines else ""
