@@ -1,5 +1,7 @@
 import datetime as dt
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,40 @@ def test_communities_and_surprise(spark):
     assert rows(G.undirected(spark.createDataFrame([(2, 1), (1, 2)], "src long, dst long"))) == [(1, 2)]
 
 
+def test_packing_is_the_greedy_fold(spark):
+    rng = random.Random(1)
+    for most in (9,):
+        sizes = [rng.choice([1, 2, 3, most, most + 7, rng.randint(1, most)]) for _ in range(150)]
+        rows_ = [(m, f"c{c:03}") for c, n in enumerate(sizes) for m in range(n)] + [(0, None)]
+        got = {r.cluster: r.batch for r in D.pack_clusters(spark.createDataFrame(rows_, "id int, cluster string"), most).collect()}
+        want, batch, used = {}, 0, 0
+        for c, n in enumerate(sizes):
+            if used and used + n > most:
+                batch, used = batch + 1, 0
+            used += n
+            want[f"c{c:03}"] = batch
+        assert got == want
+    assert D.pack_clusters(spark.createDataFrame([], "id int, cluster string")).count() == 0
+
+
+def test_workspace_signatures_read_the_ends_of_long_files(spark, tmp_path):
+    big = bytes(range(256)) * 2000
+    (tmp_path / "a").mkdir()
+    for name, data in (("a/small.txt", b"abc"), ("empty", b""), ("big", big), ("same", b"12345")):
+        (tmp_path / name).write_bytes(data)
+    look = lambda: C.signatures(C.listing(spark, str(tmp_path)), whole=1000, edge=64).collect()
+    before = look()
+    assert {r.path: r.bytes_read for r in before} == {"a/small.txt": 3, "empty": 0, "big": 128, "same": 5}
+    (tmp_path / "big").write_bytes(big[:-1] + b"!")
+    (tmp_path / "new").write_bytes(b"n")
+    (tmp_path / "empty").unlink()
+    now = spark.createDataFrame(look())
+    old = spark.createDataFrame(before)
+    got = rows(C.workspace_changes(old.withColumn("modified", F.lit(0)), now.withColumn("modified", F.lit(0))), "path", "bytes", "existed_before")
+    assert got == [("big", len(big), True), ("new", 1, False)]
+    assert C.workspace_changes(old, now, 1).count() == 1 and C.workspace_changes(old, old).count() == 0
+
+
 def test_louvain_finds_cliques(spark):
     cliques = [(a + o, b + o, 1.0) for o in (0, 10, 20) for a in range(5) for b in range(a)] + [(0, 10, 1.0), (10, 20, 1.0)]
     edges = spark.createDataFrame(cliques, "src long, dst long, weight double")
@@ -227,6 +263,14 @@ def test_louvain_covers_all_links(spark):
     sf = "/root/testdata/sf0.01"
     e = edges(spark, sf)
     ends = {x for r in e.collect() for x in (r.src, r.dst)}
-    got = {r.id: r.community for r in graph_queries.louvain(spark, sf).collect()}
+    import duckdb
+
+    found = graph_queries.louvain(spark, sf).toPandas()
+    got, links = dict(zip(found.id, found.community, strict=True)), e.toPandas()
+    total = "(SELECT sum(weight) FROM links)"
+    checked = duckdb.sql(f"""WITH l AS (SELECT a.community AS x, b.community AS y, weight FROM links JOIN found a ON a.id = src JOIN found b ON b.id = dst),
+        k AS (SELECT c, sum(weight) AS k FROM (SELECT x AS c, weight FROM l UNION ALL SELECT y, weight FROM l) GROUP BY 1)
+        SELECT (SELECT sum(weight) FROM l WHERE x = y) / {total} - (SELECT sum(k * k) FROM k) / (4 * {total} * {total})""").fetchall()[0][0]
+    assert links is not None and abs(checked - found.modularity[0]) < 1e-8 and found.modularity.nunique() == 1
     assert got.keys() == ends and len(ends) > 1_000
     assert set(got.values()) <= ends

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.session import materialize
+
 LEAST_MOVED_SIZE = 32
 MOST_RETRIES = 3
 HASH_CAP = 32 * 1024 * 1024
@@ -97,6 +104,76 @@ def status_counts(queue: DataFrame) -> DataFrame:
     return queue.agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in names], F.count("*").alias("total"))
 
 
+# ---- differences of a workspace
+
+WHOLE_BYTES, EDGE_BYTES, MOST_CHANGES = 8 * 1024 * 1024, 64 * 1024, 50
+
+
+def _arrow(uri: str):
+    """Arrow's file system of an address and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if re.match(r"[a-z0-9]+:", uri) else f"file://{uri}")
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, uri, len, modified) of the files below a folder, empty ones too, their contents unread: ``path`` is below the folder, ``uri`` is where it is.
+
+    One task lists the folder itself, then its folders are listed whole, each by a task."""
+    top = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                where, at = _arrow(top)
+                found = where.get_file_info(fs.FileSelector(f"{at}/{name}" if name else at, recursive=whole))
+                kept = [i for i in found if i.is_file or (not whole and i.type == fs.FileType.Directory)]
+                paths = [i.path[len(at) :].lstrip("/") for i in kept]
+                yield pa.record_batch([pa.array(paths, pa.string()), pa.array([f"{top}/{p}" for p in paths], pa.string()), pa.array([i.size for i in kept], pa.int64()), pa.array([i.mtime for i in kept], pa.timestamp("us", "UTC")), pa.array([i.is_file for i in kept], pa.bool_())], names=["path", "uri", "len", "modified", "file"])
+
+    schema = "path string, uri string, len long, modified timestamp, file boolean"
+    first = materialize(spark.createDataFrame([("", False)], "name string, whole boolean").mapInArrow(run, schema), "listing")
+    below = first.where("not file").select(F.col("path").alias("name"), F.lit(True).alias("whole")).repartition("name").mapInArrow(run, schema)
+    return first.where("file").unionByName(below).select("path", "uri", "len", "modified")
+
+
+def signatures(files: DataFrame, whole: int = WHOLE_BYTES, edge: int = EDGE_BYTES) -> DataFrame:
+    """``files`` (uri, len, ..) with ``signature`` and ``bytes_read``: the SHA-256 of length and content up to ``whole`` bytes; of a longer file only its
+    first and last ``edge`` bytes are read. Files that can't be read have no signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, read = [], []
+            for uri, size in zip(batch.column("uri").to_pylist(), batch.column("len").to_pylist(), strict=True):
+                digest, n = hashlib.sha256(str(size).encode()), 0
+                try:
+                    where, at = _arrow(uri)
+                    with where.open_input_file(at) as f:
+                        for start, length in [(0, size)] if size <= whole else [(0, edge), (size - edge, edge)]:
+                            part = f.read_at(length, start)
+                            digest.update(part)
+                            n += len(part)
+                    found.append(digest.hexdigest())
+                except OSError:
+                    found.append(None)
+                read.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(read, pa.int64())], names=[*batch.schema.names, "signature", "bytes_read"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.mapInArrow(run, f"{schema}, signature string, bytes_read long")
+
+
+def workspace_changes(before: DataFrame, after: DataFrame, most: int = MOST_CHANGES) -> DataFrame:
+    """(path, bytes, existed_before) of the files (path, len, modified, signature) that are new or differ in any of the three, the first ``most`` by path.
+
+    Deleted files aren't changes; nulls equal nulls."""
+    old = before.select("path", F.struct("len", "modified", "signature").alias("old"))
+    rows = after.select("path", "len", F.struct("len", "modified", "signature").alias("new")).join(old, "path", "left")
+    return rows.where(~F.col("new").eqNullSafe(F.col("old"))).select("path", F.col("len").alias("bytes"), F.col("old").isNotNull().alias("existed_before")).orderBy("path").limit(most)
+
+
 # ---- bounded histories and windows
 
 

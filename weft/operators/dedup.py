@@ -84,23 +84,43 @@ def drop_whitelisted(groups: DataFrame, whitelist: DataFrame, ids: str = "ids")
     return groups.withColumn("_key", group_key(F.col(ids))).join(whitelist.select(F.col("key").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
 
 
-def pack_clusters(members: DataFrame, most: int = 80) -> DataFrame:
-    """(id, cluster, batch): clusters in order fill batches of at most ``most`` members; none is split, a larger one stands alone.
+def _running(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows up to each, in a unique order: sums within ranges, then the sums of the ranges before. One row for each
+    range is ordered in one task."""
+    dealt = materialize(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("_range").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    local = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("_local", local).join(F.broadcast(bases), "_range").withColumn(out, F.col("_base") + F.col("_local")).drop("_range", "_local", "_base")
 
-    The fold runs over cluster sizes, not members; these are the clusters of one scan (at most ``MOST_PAGES`` pages)."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        batch, used, out = 0, 0, []
-        for n in part.sort_values("cluster").n:
-            if used and used + n > most:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        return pd.DataFrame({"cluster": part.sort_values("cluster").cluster, "batch": out})
+def pack_clusters(members: DataFrame, most: int = 80) -> DataFrame:
+    """(id, cluster, batch): clusters in order fill batches of at most ``most`` members; none is split, a larger one stands alone.
 
-    kind = members.schema["cluster"].dataType.simpleString()
-    return members.join(sizes.groupBy("one").applyInPandas(fold, f"cluster {kind}, batch int"), "cluster").select("id", "cluster", "batch")
+    The greedy fold, in parallel. Clusters lie one behind another on a line of members. A batch that starts at a place ends before the cluster that holds the
+    place ``most`` further on (or behind its first cluster, if that is the same): so each cluster's next start is known without the fold, by a join on
+    stretches of the line. The starts that are reached from the first are found by doubling jumps, in as many rounds as the number of batches has bits.
+    Rows without a cluster have no batch and are left out; ids may repeat."""
+    rows = members.where("cluster is not null")
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"))
+    line = materialize(_running(sizes, "cluster", "n", "end").select("cluster", "n", (F.col("end") - F.col("n")).alias("start"), "end"), "line")
+    held = line.select(F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.expr(f"start div {most}"), F.expr(f"(end - 1) div {most}"))).alias("stretch"))
+    aims = line.select("start", "end", (F.col("start") + most).alias("aim"), F.expr(f"(start + {most}) div {most}").alias("stretch"))
+    found = aims.join(held, "stretch").where("s <= aim and aim < e")
+    jumps = materialize(found.select("start", F.when(F.col("s") == F.col("start"), F.col("end")).otherwise(F.col("s")).alias("to")), "jumps")
+    # a jump from the last batch leads nowhere; one over the end is to a start that isn't there
+    reached = materialize(line.where("start = 0").select("start"), "starts")
+    n = reached.count()
+    while n:
+        reached = materialize(reached.unionByName(reached.join(jumps, "start").select(F.col("to").alias("start"))).join(line.select("start"), "start", "left_semi").distinct(), "starts")
+        now = reached.count()
+        if now == n:
+            break
+        n = now
+        jumps = materialize(jumps.join(jumps.select(F.col("start").alias("to"), F.col("to").alias("further")), "to").select("start", F.col("further").alias("to")), "jumps")
+    marked = line.join(reached.withColumn("first", F.lit(1)), "start", "left").select("cluster", F.coalesce("first", F.lit(0)).alias("first"))
+    numbered = _running(marked, "cluster", "first", "batch").select("cluster", (F.col("batch") - 1).cast("int").alias("batch"))
+    return rows.join(numbered, "cluster").select("id", "cluster", "batch")
 
 
 def near_duplicates(pages: DataFrame, threshold: float = THRESHOLD, top_k: int = TOP_K) -> DataFrame:

@@ -201,47 +201,65 @@ def graph_hits(nodes: DataFrame, edges: DataFrame, matched: Column, limit: int =
     return rows.select("id", score.alias("score")).orderBy(F.col("score").desc(), "id").limit(min(max(limit, 1), 10))
 
 
-def louvain(edges: DataFrame, rounds: int = 6, levels: int = 2) -> DataFrame:
-    """(id, community) by local moving and coarsening of a weighted graph (src, dst, weight).
+LEAST_GAIN = 1e-5
+
+
+def _modularity_of(graph: DataFrame, state: DataFrame, total: float) -> float:
+    """Modularity of a state (id, c) of a graph (u, v, w) with both directions of each link."""
+    x, y = state.select(F.col("id").alias("u"), F.col("c").alias("cu")), state.select(F.col("id").alias("v"), F.col("c").alias("cv"))
+    sums = graph.join(x, "u").join(y, "v").groupBy(F.col("cu").alias("c")).agg(F.sum("w").alias("all"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0.0)).alias("inside"))
+    return sums.agg(F.sum(F.col("inside") / total - (F.col("all") / total) ** 2)).first()[0] or 0.0
+
+
+def _moved(graph: DataFrame, state: DataFrame, total: float, turn: int) -> DataFrame:
+    """A state (id, k, c) after the nodes of one parity have moved where they gain most."""
+    sums = state.groupBy("c").agg(F.sum("k").alias("tot"))
+    near = graph.where("u <> v").join(state.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("u").alias("id"), F.col("cv").alias("cand")).agg(F.sum("w").alias("win"))
+    own = state.select("id", F.col("c").alias("cand"), F.lit(0.0).alias("win"))
+    options = near.unionByName(own).groupBy("id", "cand").agg(F.sum("win").alias("win")).join(state, "id").join(sums.select(F.col("c").alias("cand"), "tot"), "cand")
+    rest = F.col("tot") - F.when(F.col("cand") == F.col("c"), F.col("k")).otherwise(0.0)
+    gain = F.round(F.col("win") - F.col("k") * rest / total, 12)
+    best = options.withColumn("gain", gain).groupBy("id").agg(F.max_by("cand", F.struct("gain", (F.col("cand") == F.col("c")).cast("int"), -F.xxhash64("cand"))).alias("to"))
+    moves = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    return materialize(state.join(best, "id").select("id", "k", F.when(moves, F.col("to")).otherwise(F.col("c")).alias("c")), "state")
+
+
+def louvain(edges: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """(id, community, modularity) by local moving and coarsening of a weighted graph (src, dst, weight), to convergence.
 
     In a round every node looks at the communities of its neighbours and moves to the one with the largest gain of
-    modularity; nodes of one parity of a hash move at a time, so that pairs don't swap for ever. Ties go to the smaller
-    community. Each level then joins a community into one node. State is written after each round; nothing but
-    totals reaches the driver.
+    modularity; nodes of one parity of a hash move at a time, so that pairs don't swap for ever. Ties go to the community of
+    the smaller hash. A level goes on while a pair of rounds raises the modularity by more than ``least_gain``; a pair that doesn't is
+    undone. Each level then joins a community into one node, and levels end when one has nothing to gain, so there are at most 1 / ``least_gain`` rounds,
+    and in practice few. ``modularity`` is that of the whole assignment. State is written after each round; nothing but totals
+    reaches the driver. A graph without weights gives no rows; loops and nulls are passed over.
     """
-    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("w"))
+    pairs = edges.where("src <> dst and weight > 0").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("w"))
     graph = pairs.groupBy("a", "b").agg(F.sum("w").alias("w"))
     graph = materialize(graph.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(graph.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")), "graph")
     total = graph.agg(F.sum("w")).first()[0]
     if not total:
-        return edges.sparkSession.createDataFrame([], "id long, community long").select(F.col("id").cast(edges.schema["src"].dataType), F.col("community").cast(edges.schema["src"].dataType))
-    mapping = None
-    for _ in range(levels):
-        strength = materialize(graph.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")), "strength")
-        state = materialize(strength.select("id", "k", F.col("id").alias("c")), "state")
-        for turn in range(rounds):
-            sums = state.groupBy("c").agg(F.sum("k").alias("tot"))
-            near = graph.where("u <> v").join(state.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("u").alias("id"), F.col("cv").alias("cand")).agg(F.sum("w").alias("win"))
-            own = state.select("id", F.col("c").alias("cand"), F.lit(0.0).alias("win"))
-            options = near.unionByName(own).groupBy("id", "cand").agg(F.sum("win").alias("win")).join(state, "id").join(sums.select(F.col("c").alias("cand"), "tot"), "cand")
-            rest = F.col("tot") - F.when(F.col("cand") == F.col("c"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("win") - F.col("k") * rest / total, 12)
-            best = options.withColumn("gain", gain).groupBy("id").agg(F.max_by("cand", F.struct("gain", (F.col("cand") == F.col("c")).cast("int"), -F.xxhash64("cand"))).alias("to"))
-            moves = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
-            new = state.join(best, "id").select("id", "k", F.when(moves, F.col("to")).otherwise(F.col("c")).alias("c"), (moves & (F.col("to") != F.col("c"))).alias("moved"))
-            new = materialize(new, "state")
-            moved = new.where("moved").count()
-            state = new.drop("moved")
-            if not moved and turn % 2:
+        kind = edges.schema["src"].dataType
+        return edges.sparkSession.createDataFrame([], "id long, community long, modularity double").select(F.col("id").cast(kind), F.col("community").cast(kind), "modularity")
+    mapping, reached = None, None
+    while True:
+        state = materialize(graph.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")), "state")
+        start = q = _modularity_of(graph, state, total)
+        turn = 0
+        while True:
+            new = _moved(graph, _moved(graph, state, total, turn), total, turn + 1)
+            now = _modularity_of(graph, new, total)
+            if now <= q + least_gain:
                 break
-        now = state.select("id", "c")
-        mapping = materialize(now if mapping is None else mapping.withColumnRenamed("c", "mid").join(now.withColumnRenamed("id", "mid"), "mid").select("id", "c"), "mapping")
-        x, y = now.select(F.col("id").alias("u"), F.col("c").alias("cu")), now.select(F.col("id").alias("v"), F.col("c").alias("cv"))
-        before = graph.select("u").distinct().count()
-        graph = materialize(graph.join(x, "u").join(y, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "graph")
-        if graph.select("u").distinct().count() == before:
+            state, q, turn = new, now, turn + 2
+        reached = start if reached is None else reached
+        if mapping is not None and q <= reached + least_gain:
             break
-    return mapping.select("id", F.col("c").alias("community"))
+        reached, joined = q, state.select("id", "c")
+        mapping = materialize(joined if mapping is None else mapping.withColumnRenamed("c", "mid").join(joined.withColumnRenamed("id", "mid"), "mid").select("id", "c"), "mapping")
+        x, y = joined.select(F.col("id").alias("u"), F.col("c").alias("cu")), joined.select(F.col("id").alias("v"), F.col("c").alias("cv"))
+        graph = materialize(graph.join(x, "u").join(y, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "graph")
+    return mapping.select("id", F.col("c").alias("community"), F.lit(reached).alias("modularity"))
 
 
 def modularity(edges: DataFrame, assigned: DataFrame) -> DataFrame:

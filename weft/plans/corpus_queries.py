@@ -355,7 +355,29 @@ def review_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("item_id", M.review_id(F.lit("missing-page"), F.col("text")).alias("review_id"))
 
 
+def packed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as clusters of their lines, in batches of at most 80 lines; keys of orders are the order."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("cluster"))
+    return D.pack_clusters(lines, 80).groupBy("cluster", "batch").agg(F.count("*").alias("members"))
+
+
+PACKED_SQL = """WITH RECURSIVE c AS (SELECT l_orderkey AS cluster, count(*) AS n FROM lineitem GROUP BY 1), l AS (SELECT *, (sum(n) OVER (ORDER BY cluster))::BIGINT AS e FROM c), p AS (SELECT *, e - n AS s FROM l),
+b(start, batch) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT CASE WHEN p.s = b.start THEN p.e ELSE p.s END, batch + 1 FROM b JOIN p ON p.s <= b.start + 80 AND b.start + 80 < p.e)
+SELECT p.cluster, b.batch, p.n AS members FROM p ASOF JOIN b ON p.s >= b.start"""
+
+
+def workspace_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of a workspace, the orders of customers in two halves of the time as files: the first 50 changes by path."""
+    shot = lambda df: df.select("path", F.col("size").alias("len"), F.lit(None).cast("timestamp").alias("modified"), F.col("hash").alias("signature"))
+    return C.workspace_changes(*map(shot, _snapshots(spark, sf_dir)))
+
+
+WORKSPACE_SQL = f"""WITH {SHOTS_SQL} SELECT new.path, new.size AS bytes, old.path IS NOT NULL AS existed_before FROM new LEFT JOIN old USING (path) WHERE old.path IS NULL OR old.size <> new.size OR old.hash <> new.hash ORDER BY new.path LIMIT 50"""
+
+
 QUERIES = {
+    "packed_clusters": (packed_clusters, PACKED_SQL),
+    "workspace_difference": (workspace_difference, WORKSPACE_SQL),
     "cosine_pairs": (cosine_pairs, f"WITH {PAIRS_SQL} SELECT a, b, round(similarity, 6) AS similarity FROM pairs"),
     "knn_topk_pairs": (knn_topk_pairs, f"WITH {ENDS_SQL} SELECT a, b, similarity FROM best"),
     "dedup_clusters": (dedup_clusters, CLUSTER_SQL),

@@ -153,8 +153,8 @@ COMPONENT_SQL = f"""WITH RECURSIVE {EDGES_SQL}, nbr AS (SELECT src, dst FROM edg
 
 
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of all links by modularity."""
-    return G.louvain(edges(spark, sf_dir))
+    """Communities of all links by modularity, with the modularity that they reach."""
+    return G.louvain(edges(spark, sf_dir)).select("id", "community", F.round("modularity", 9).alias("modularity"))
 
 
 def backlinks_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
