@@ -10,13 +10,14 @@ whole in the bin where it starts, and a client with a third of all events is spr
 Bins are dealt by ranges of (client, bin). What a task holds at once is bounded by time, not by a client's events.
 
 Lengths grow level by level: a candidate's first and last parts, one type shorter, were kept (deleting an inner type
-can break the gap limit, so other parts don't prune). Supports are counted by Spark over distinct (client, pattern)
-rows. Only the types and kept patterns reach the driver: with a least share of clients, they number at most a
+can break the gap limit, so other parts don't prune). A client's patterns travel as a
+bitset over the candidates; bitsets of one client are ORed and counted, and Spark adds up the counts. Only the types and kept patterns reach the driver: with a least share of clients, they number at most a
 function of how many types a client has on average, whatever the input's size.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,6 +32,8 @@ from weft.session import materialize
 SECOND = 1_000_000
 BIN_SECONDS = 3 * 3600
 BATCH_EVENTS = 1 << 17
+#: Bits of clients by candidates that a task holds at once.
+HELD_BITS = 1 << 26
 RESULT = "pattern string, length int, support long, clients_crc long, n_wider long, closed boolean"
 
 
@@ -85,34 +88,38 @@ class _Timeline:
         before = np.where(self.after >= 0, last[self.after], -1)
         return np.packbits(before >= self.first), before
 
-    def within_span(self, bits: np.ndarray, before: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The marked events at which some occurrence doesn't span too much. Latest starts never fall from one marked event to
+    def within_span(self, places: np.ndarray, before: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The events at which some occurrence doesn't span too much. Latest starts never fall from one marked event to
         a later one, so the last marked event of the window has the latest start."""
-        at = np.flatnonzero(np.unpackbits(bits, count=self.n))
-        good = at[self.t[at] - starts[before[at]] <= self.span]
-        kept = np.zeros(self.n, bool)
-        kept[good] = True
-        return np.packbits(kept)
+        return places[self.t[places] - starts[before[places]] <= self.span]
 
     def find(self, tree: dict, length: int, bits: np.ndarray | None = None, starts: np.ndarray | None = None, depth: int = 0) -> Iterator[tuple[int, np.ndarray]]:
         """(pattern number, events at which it ends) for the patterns of a tree of candidates that occur."""
-        smeared = before = None
+        smeared = before = latest = None
         if bits is not None:
             smeared, before = self.smear(bits)
         for code, below in tree.items():
             own = self.types.get(code)
             if own is None:
                 continue
-            now = own if smeared is None else own & smeared
-            if depth * self.gap > self.span and now.any():
-                now = self.within_span(now, before, starts)
-            if not now.any():
+            now, long = own if smeared is None else own & smeared, depth * self.gap > self.span
+            if long or depth + 1 == length:
+                places = np.flatnonzero(np.unpackbits(now, count=self.n))
+                if long:
+                    places = self.within_span(places, before, starts)
+                if not len(places):
+                    continue
+                if depth + 1 == length:
+                    yield below, places
+                    continue
+                kept = np.zeros(self.n, bool)
+                kept[places] = True
+                now = np.packbits(kept)
+            elif not now.any():
                 continue
-            if depth + 1 == length:
-                yield below, np.flatnonzero(np.unpackbits(now, count=self.n))
-            else:
+            if latest is None:
                 latest = self.t if before is None else np.where(before >= 0, starts[before], -1)
-                yield from self.find(below, length, now, latest, depth + 1)
+            yield from self.find(below, length, now, latest, depth + 1)
 
 
 def _tree(candidates: list[tuple[int, ...]]) -> dict:
@@ -126,25 +133,60 @@ def _tree(candidates: list[tuple[int, ...]]) -> dict:
 
 
 def supporters(held: DataFrame, candidates: list[tuple[int, ...]], gap: int, span: int) -> DataFrame:
-    """``(client, pattern)``: which clients support which candidates (by their place in the list), all of one length; a client in several
-    batches can give a pattern again."""
+    """``(client, found)``: which candidates (all of one length) a client supports, as a bitset by their place in the list; a client in several
+    batches has several."""
     length, tree, many = len(candidates[0]), _tree(candidates), len(candidates)
+    most_bins = max(1, HELD_BITS // many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = batch.column(1).offsets.to_numpy()
             at = 0
             while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH_EVENTS, "right")) - 1)
+                end = min(at + most_bins, max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH_EVENTS, "right")) - 1))
                 part = batch.column(1).values.slice(ends[at], ends[end] - ends[at])
                 clients, who = np.unique(batch.column(0).slice(at, end - at).to_numpy(), return_inverse=True)
                 line = _Timeline(part.field("t").to_numpy(), part.field("code").to_numpy(), np.diff(ends[at : end + 1]), gap, span)
-                found = [np.unique(who[line.bin[places]]) * many + number for number, places in line.find(tree, length)]
-                pairs = np.concatenate(found) if found else np.zeros(0, np.int64)
-                yield pa.record_batch([pa.array(clients[pairs // many]), pa.array((pairs % many).astype(np.int32))], names=["client", "pattern"])
+                mine, found = who[line.bin], np.zeros((many, len(clients)), bool)
+                for number, places in line.find(tree, length):
+                    found[number, mine[places]] = True
+                bits = np.packbits(found.T, axis=1)
+                yield pa.record_batch([pa.array(clients), pa.array([row.tobytes() for row in bits], pa.binary())], names=["client", "found"])
                 at = end
 
-    return held.select("client", "events").mapInArrow(run, "client long, pattern int")
+    return held.select("client", "events").mapInArrow(run, "client long, found binary")
+
+
+def _bit_counts(found: DataFrame, many: int) -> DataFrame:
+    """``(pattern, support, clients_crc)`` of clients' bitsets (client, found): a client's bitsets are ORed, then counted in its task, and Spark adds
+    up the tasks' sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        support, crc, last, held = np.zeros(many, np.int64), np.zeros(many, np.int64), None, None
+
+        def count(clients: np.ndarray, bits: np.ndarray) -> None:
+            for at in range(0, len(clients), 1024):
+                some = np.unpackbits(bits[at : at + 1024], axis=1, count=many)
+                support[:] += some.sum(0, dtype=np.int64)
+                crc[:] += np.array([zlib.crc32(str(c).encode()) for c in clients[at : at + 1024].tolist()], np.int64) @ some
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            clients = batch.column(0).to_numpy()
+            bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(clients), -1)
+            if last is not None:
+                clients, bits = np.concatenate((last, clients)), np.concatenate((held, bits))
+            starts = np.flatnonzero(np.concatenate(([True], clients[1:] != clients[:-1])))
+            clients, bits = clients[starts], np.bitwise_or.reduceat(bits, starts, axis=0)
+            count(clients[:-1], bits[:-1])  # the last client may go on in the next batch
+            last, held = clients[-1:], bits[-1:]
+        if last is not None:
+            count(last, held)
+            yield pa.record_batch([pa.array(np.arange(many, dtype=np.int32)), pa.array(support), pa.array(crc)], names=["pattern", "support", "clients_crc"])
+
+    sums = found.repartition("client").sortWithinPartitions("client").mapInArrow(run, "pattern int, support long, clients_crc long")
+    return sums.groupBy("pattern").agg(F.sum("support").alias("support"), F.sum("clients_crc").alias("clients_crc"))
 
 
 def _counts(found: DataFrame, by: str) -> DataFrame:
@@ -191,7 +233,7 @@ def mine(events: DataFrame, gap_seconds: int = 600, span_percent: int = 200, lon
             candidates = [p + (x,) for p in level for x in range(len(names)) if p[1:] + (x,) in last]
             if not candidates:
                 break
-            found = enough(_counts(supporters(held, candidates, gap, span), "pattern")).collect()
+            found = enough(_bit_counts(supporters(held, candidates, gap, span), len(candidates))).collect()
             level = [candidates[r.pattern] for r in found]
             kept |= {candidates[r.pattern]: (r.support, r.clients_crc) for r in found}
     wider = _wider(kept)
