@@ -34,6 +34,8 @@ BIN_SECONDS = 3 * 3600
 BATCH_EVENTS = 1 << 17
 #: Bits of clients by candidates that a task holds at once.
 HELD_BITS = 1 << 26
+#: Candidates whose sums a task passes on in one row.
+BLOCK = 256
 RESULT = "pattern string, length int, support long, clients_crc long, n_wider long, closed boolean"
 
 
@@ -158,8 +160,8 @@ def supporters(held: DataFrame, candidates: list[tuple[int, ...]], gap: int, spa
 
 
 def _bit_counts(found: DataFrame, many: int) -> DataFrame:
-    """``(pattern, support, clients_crc)`` of clients' bitsets (client, found): a client's bitsets are ORed, then counted in its task, and Spark adds
-    up the tasks' sums."""
+    """``(pattern, support, clients_crc)`` of clients' bitsets (client, found): a client's bitsets are ORed, then counted in its task, and the tasks' sums
+    are added up by blocks of candidates: a row for each task and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         support, crc, last, held = np.zeros(many, np.int64), np.zeros(many, np.int64), None, None
@@ -183,10 +185,17 @@ def _bit_counts(found: DataFrame, many: int) -> DataFrame:
             last, held = clients[-1:], bits[-1:]
         if last is not None:
             count(last, held)
-            yield pa.record_batch([pa.array(np.arange(many, dtype=np.int32)), pa.array(support), pa.array(crc)], names=["pattern", "support", "clients_crc"])
+            firsts = range(0, many, BLOCK)
+            blocks = [np.concatenate((support[i : i + BLOCK], crc[i : i + BLOCK])).astype("<i8").tobytes() for i in firsts]
+            yield pa.record_batch([pa.array(list(firsts), pa.int32()), pa.array(blocks, pa.binary())], names=["first", "sums"])
 
-    sums = found.repartition("client").sortWithinPartitions("client").mapInArrow(run, "pattern int, support long, clients_crc long")
-    return sums.groupBy("pattern").agg(F.sum("support").alias("support"), F.sum("clients_crc").alias("clients_crc"))
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, "<i8") for b in rows["sums"].to_pylist())
+        support, crc = np.split(total, 2)
+        return pa.table({"pattern": np.arange(len(support), dtype=np.int32) + np.int32(rows["first"][0].as_py()), "support": support, "clients_crc": crc})
+
+    sums = found.repartition("client").sortWithinPartitions("client").mapInArrow(run, "first int, sums binary")
+    return sums.groupBy("first").applyInArrow(add, "pattern int, support long, clients_crc long")
 
 
 def _counts(found: DataFrame, by: str) -> DataFrame:
