@@ -293,7 +293,7 @@ def merge_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("id", D.rewrite_links(said("[[old-a]] [[ Old-B |x]] [[keep]] ", i), moved).alias("content"), F.array_join(D.remap_list(related, moved), "|").alias("related"), D.drop_index_lines(index, list(moved)).alias("index"))
 
 
-@query(PARTS + """SELECT id, CASE WHEN size % 5 <> 2 AND id % 3 <> 0 THEN 'skip' WHEN size % 5 = 2 AND id % 3 = 0 OR id % 4 = 0 AND (size % 5 = 2 OR id % 3 = 0) AND false THEN 'delete' ELSE 'keep' END AS decision,
+@query(PARTS + """SELECT id, CASE WHEN size % 5 <> 2 AND id % 3 <> 0 THEN 'skip' WHEN size % 5 = 2 AND id % 3 = 0 THEN 'delete' ELSE 'keep' END AS decision,
     concat_ws('|', CASE WHEN size % 5 <> 2 THEN 's' || size % 5 || '.pdf' END, CASE WHEN id % 3 <> 0 THEN 'raw/t' || id % 3 || '.md' END) AS sources FROM w""")
 def cascade_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of pages when a source goes: it's named by its path or, without a folder, by its name."""

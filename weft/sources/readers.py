@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.sources.mobi import mobi
 from weft.sources.pdf import pdf
 
 MOST_BYTES = 256 * 1024 * 1024
@@ -221,10 +222,10 @@ def _page(data: bytes) -> str:
     return markdown(article(_text(data)))
 
 
-FORMATS: dict[str, Callable[[bytes], str]] = {"docx": docx, "pptx": pptx, "xlsx": xlsx, "odt": opendocument, "odp": opendocument, "ods": opendocument, "epub": epub, "org": org, "html": _page, "htm": _page, "pdf": pdf}
+FORMATS: dict[str, Callable[[bytes], str]] = {"docx": docx, "pptx": pptx, "xlsx": xlsx, "odt": opendocument, "odp": opendocument, "ods": opendocument, "epub": epub, "mobi": mobi, "org": org, "html": _page, "htm": _page, "pdf": pdf}
 MEDIA = ("png", "jpg", "jpeg", "gif", "webp", "svg", "bmp", "ico", "mp4", "webm", "mov", "avi", "mkv", "mp3", "wav", "ogg", "flac", "m4a")
 #: Formats that need libraries this environment lacks; their rows say so.
-UNSUPPORTED = ("doc", "ppt", "xls", "mobi")
+UNSUPPORTED = ("doc", "ppt", "xls")
 
 
 def extract(rows: DataFrame) -> DataFrame:
