@@ -1,4 +1,4 @@
-"""Queries of merges that are carried out in a store of pages made from documents."""
+"""Queries of merges that are carried out in a store of pages made from documents, and of archives."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import merges
 from weft.session import checkpoint_dir, remove_at_end, table
+from weft.sources import archive
 from weft.sources.store import Store
 
 
@@ -45,4 +46,17 @@ SELECT 'wiki/doc-' || r.id || '.md' AS path, r.n = 1 AND copies > 1 OR next.id I
 FROM r LEFT JOIN g next ON next.id = r.id + 1 WHERE NOT (copies > 1 AND n = 2)
 """
 
-QUERIES = {"merge_transaction": (merge_transaction, MERGED_SQL)}
+def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a project, written into zips and read back."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("wiki/doc-"), "doc_id", F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    folder = f"{checkpoint_dir(spark)}/weft-archive-{uuid.uuid4().hex}"
+    remove_at_end(spark, folder)
+    archive.write_archive(docs, folder)
+    # the bounds are for archives from elsewhere; this one is our own
+    found = archive.read_archive(spark, folder, most_bytes=1 << 62, most_entries=1 << 62, index=None)
+    return found.select("path", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+ARCHIVE_SQL = "SELECT 'wiki/doc-' || doc_id || '.md' AS path, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents"
+
+QUERIES = {"archive_round_trip": (archive_round_trip, ARCHIVE_SQL), "merge_transaction": (merge_transaction, MERGED_SQL)}
