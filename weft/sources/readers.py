@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.sources.compound import doc, xls
 from weft.sources.mobi import mobi
 from weft.sources.pdf import pdf
 
@@ -128,6 +129,10 @@ def cell_text(value: str) -> str:
     return str(int(x)) if x == int(x) and abs(x) < 1e15 else f"{x:.2f}"
 
 
+#: Errors in cells and their names.
+CELL_ERRORS = {"#NULL!": "Null", "#DIV/0!": "Div0", "#VALUE!": "Value", "#REF!": "Ref", "#NAME?": "Name", "#NUM!": "Num", "#N/A": "NA", "#GETTING_DATA": "GettingData"}
+
+
 def xlsx(data: bytes) -> str:
     z = _zip(data)
     shared = ["".join(t.text or "" for t in s.iter(f"{S}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
@@ -148,6 +153,8 @@ def xlsx(data: bytes) -> str:
                 v = c.find(f"{S}v")
                 value = (v.text or "") if v is not None else "".join(t.text or "" for t in c.iter(f"{S}t"))
                 kind = c.get("t")
+                if kind in ("b", "e") and value:
+                    value = str(value == "1").lower() if kind == "b" else "ERR:" + CELL_ERRORS.get(value, value)
                 cells.append(shared[int(value)] if kind == "s" and value else value if kind in ("str", "inlineStr", "b", "e") else cell_text(value) if value else "")
             rows.append(cells)
         table = pipe_table([r for r in rows if any(r)])
@@ -222,10 +229,10 @@ def _page(data: bytes) -> str:
     return markdown(article(_text(data)))
 
 
-FORMATS: dict[str, Callable[[bytes], str]] = {"docx": docx, "pptx": pptx, "xlsx": xlsx, "odt": opendocument, "odp": opendocument, "ods": opendocument, "epub": epub, "mobi": mobi, "org": org, "html": _page, "htm": _page, "pdf": pdf}
+FORMATS: dict[str, Callable[[bytes], str]] = {"docx": docx, "pptx": pptx, "xlsx": xlsx, "odt": opendocument, "odp": opendocument, "ods": opendocument, "epub": epub, "mobi": mobi, "org": org, "html": _page, "htm": _page, "pdf": pdf, "doc": doc, "xls": xls}
 MEDIA = ("png", "jpg", "jpeg", "gif", "webp", "svg", "bmp", "ico", "mp4", "webm", "mov", "avi", "mkv", "mp3", "wav", "ogg", "flac", "m4a")
-#: Formats that need libraries this environment lacks; their rows say so.
-UNSUPPORTED = ("doc", "ppt", "xls")
+#: Formats that aren't read; their rows say so.
+UNSUPPORTED = ("ppt",)
 
 
 def extract(rows: DataFrame) -> DataFrame:
