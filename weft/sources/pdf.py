@@ -162,8 +162,11 @@ class File:
 
     def stream(self, number: int) -> bytes:
         """The decoded data of an object's stream; empty if it has none."""
-        data, filters = self.streams.get(number, b""), self.get(self.objects[number].get("Filter")) if number in self.streams else []
-        for name in map(self.get, filters if isinstance(filters, list) else [filters]):
+        filters = self.get(self.objects[number].get("Filter")) if number in self.streams else []
+        return self.decoded(self.streams.get(number, b""), filters if isinstance(filters, list) else [filters])
+
+    def decoded(self, data: bytes, filters: list) -> bytes:
+        for name in map(self.get, filters):
             if name in ("FlateDecode", "Fl"):
                 reader = zlib.decompressobj()
                 data = reader.decompress(data, MOST_BYTES)
@@ -178,21 +181,27 @@ class File:
                 raise ValueError(f"{name} is not supported")
         return data
 
+    def contents(self, page: dict) -> bytes:
+        """The content streams of a page as one."""
+        parts = page.get("Contents")
+        parts = self.get(parts) if isinstance(self.get(parts), list) else [parts]
+        return b"\n".join(self.stream(int(p)) for p in parts if isinstance(p, Reference))
+
     def pages(self) -> list[dict]:
-        """Pages in order, with the resources that they inherit."""
-        out, seen, todo = [], set(), [(self.root.get("Pages"), {})]
+        """Pages in order, with the resources and the size that they inherit."""
+        out, seen, todo = [], set(), [(self.root.get("Pages"), {}, None)]
         while todo:
-            ref, resources = todo.pop()
+            ref, resources, box = todo.pop()
             node = self.get(ref)
             if not isinstance(node, dict) or (isinstance(ref, Reference) and int(ref) in seen):
                 continue
             seen.add(int(ref) if isinstance(ref, Reference) else -1)
-            resources = self.get(node.get("Resources")) or resources
+            resources, box = self.get(node.get("Resources")) or resources, node.get("MediaBox", box)
             kids = self.get(node.get("Kids"))
             if isinstance(kids, list):
-                todo += [(k, resources) for k in reversed(kids)]
+                todo += [(k, resources, box) for k in reversed(kids)]
             else:
-                out.append({**node, "Resources": resources})
+                out.append({**node, "Resources": resources, "MediaBox": box})
         return out
 
 
@@ -262,6 +271,12 @@ class Font:
         return "".join(out)
 
 
+def inline_end(data: bytes, at: int) -> int:
+    """The place behind an image that stands in the content itself."""
+    end = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ]|$)").search(data, at)
+    return end.end() if end else len(data)
+
+
 class _Writer:
     """Text of one page, its lines told by the moves between strings."""
 
@@ -306,8 +321,7 @@ class _Writer:
             if item == b"":
                 return
             if item == b"ID":
-                end = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ]|$)").search(data, at)
-                at = end.end() if end else len(data)
+                at = inline_end(data, at)
             elif item == b"Tf" and len(held) >= 2:
                 font, self.size = self._font(resources, held[-2]), numbers[-1] if numbers else 1.0
             elif item == b"TL" and numbers:
@@ -346,15 +360,15 @@ class _Writer:
             held = []
 
 
+def page_text(file: File, page: dict) -> str:
+    """The lines of a page that hold text."""
+    writer = _Writer(file)
+    writer.run(file.contents(page), page["Resources"])
+    lines = [re.sub(r"[ \t]+", " ", line).strip() for line in "".join(writer.out).split("\n")]
+    return "\n".join(line for line in lines if line)
+
+
 def pdf(data: bytes) -> str:
     """The text of all pages in order, a blank line between pages that hold some."""
     file = File(data)
-    pages = []
-    for page in file.pages():
-        parts = page.get("Contents")
-        parts = file.get(parts) if isinstance(file.get(parts), list) else [parts]
-        writer = _Writer(file)
-        writer.run(b"\n".join(file.stream(int(p)) for p in parts if isinstance(p, Reference)), page["Resources"])
-        lines = [re.sub(r"[ \t]+", " ", line).strip() for line in "".join(writer.out).split("\n")]
-        pages.append("\n".join(line for line in lines if line))
-    return "\n\n".join(p for p in pages if p)
+    return "\n\n".join(p for p in (page_text(file, page) for page in file.pages()) if p)

@@ -269,9 +269,13 @@ def cached_extract(sources: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def images(rows: DataFrame, least: int = 100, most: int = 500) -> DataFrame:
-    """(path, index, mime, width, height, sha256) of images inside office files and books, of 100 pixels and more, the first 500 a file."""
+    """(path, index, mime, width, height, sha256, page) of images inside office files, books and PDF files (``pdf_images`` says which), of
+    100 pixels and more, the first 500 a file; ``page`` is a PDF file's. Broken files give none from the place where they break."""
     import hashlib
     import struct
+    import zlib
+
+    from weft.sources.pdf_images import pdf_images
 
     def size(data: bytes) -> tuple[str, int, int] | None:
         if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
@@ -289,27 +293,34 @@ def images(rows: DataFrame, least: int = 100, most: int = 500) -> DataFrame:
 
     def found(path: str, data: bytes) -> list[tuple]:
         out = []
+        if b"%PDF-" in data[:1024]:
+            try:
+                for i in pdf_images(data, least, most):
+                    out.append((path, len(out), i.mime, i.width, i.height, hashlib.sha256(i.content).hexdigest(), i.page))
+            except (ValueError, KeyError, TypeError, zlib.error):
+                return out
+            return out
         try:
             z = _zip(data)
             for name in sorted(n for n in z.namelist() if re.search(r"(?i)\.(png|jpe?g|gif)$", n)):
                 raw = z.read(name)
                 s = size(raw)
                 if s and s[1] >= least and s[2] >= least and len(out) < most:
-                    out.append((path, len(out), *s, hashlib.sha256(raw).hexdigest()))
+                    out.append((path, len(out), *s, hashlib.sha256(raw).hexdigest(), None))
         except (zipfile.BadZipFile, ValueError):
             return out
         return out
 
-    names = ["path", "index", "mime", "width", "height", "sha256"]
+    names = ["path", "index", "mime", "width", "height", "sha256", "page"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = found(p, d or b"")
                 if got:
-                    yield pa.record_batch([pa.array(x) for x in zip(*got, strict=True)], names=names).cast(pa.schema([("path", pa.string()), ("index", pa.int32()), ("mime", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("sha256", pa.string())]))
+                    yield pa.record_batch([pa.array(x) for x in zip(*got, strict=True)], names=names).cast(pa.schema([("path", pa.string()), ("index", pa.int32()), ("mime", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("sha256", pa.string()), ("page", pa.int32())]))
 
-    return rows.select("path", "content").mapInArrow(run, "path string, index int, mime string, width int, height int, sha256 string")
+    return rows.select("path", "content").mapInArrow(run, "path string, index int, mime string, width int, height int, sha256 string, page int")
 
 
 # ---- addresses
