@@ -93,7 +93,7 @@ def test_pixels():
     assert (unpng(pixels(image(colour.tobytes(), space=b"/DeviceRGB"))[1]) == colour).all()
     assert (unpng(pixels(image(colour.tobytes(), space=b"[/ICCBased 6 0 R]"), b"<< /N 3 >>")[1]) == colour).all()
     assert (unpng(pixels(image(colour.tobytes().hex().encode() + b">", space=b"/DeviceRGB", rest=b"/Filter [/AHx]", packed=False))[1]) == colour).all()
-    assert (unpng(pixels(image((GREY.astype(">u2") << 8).tobytes(), bits=16))[1]) == GREY).all()
+    assert (unpng(pixels(image((GREY.astype(np.uint16) * 256).astype(">u2").tobytes(), bits=16))[1]) == GREY).all()
     bits = RNG.integers(0, 2, (110, 117), np.uint8)
     assert (unpng(pixels(image(np.packbits(bits, axis=1).tobytes(), 117, bits=1))[1]) == bits * 255).all()
     table = RNG.integers(0, 256, (16, 3), np.uint8)

@@ -110,3 +110,48 @@ def review_id(kind: Column, title: Column) -> Column:
     from weft.functions.text import review_title_key
 
     return F.concat(F.lit("review-"), F.lpad(F.lower(F.hex(fnv1a32_column(F.concat(kind, F.lit("::"), review_title_key(title))))), 8, "0"))
+
+
+def ingest_budget(size: Column, fixed: Column) -> Column:
+    """Characters of a source that one pass takes, beside ``fixed`` characters of other context, in a model's context of ``size``
+    (the default where that's null or not above zero)."""
+    size = F.when(size > 0, size).otherwise(DEFAULT_CONTEXT).cast("long")
+    share = lambda x: F.floor(size * x)
+    least = F.greatest(F.lit(12_000), fixed.cast("long"))
+    left = size - share(0.15) - F.least(share(0.25), least) - F.greatest(F.lit(12_000), share(0.08))
+    most = F.least(F.lit(300_000), F.greatest(F.lit(8_000), share(0.6)))
+    return F.least(F.greatest(left, F.lit(8_000)), most)
+
+
+def generation_tokens(size: Column) -> Column:
+    """Tokens that a model of such a context may write for a page; a review takes half, from 4 096 to 8 192."""
+    size = F.when(size > 0, size).otherwise(DEFAULT_CONTEXT)
+    return F.when(size >= 512_000, 32_768).when(size >= 256_000, 24_576).when(size >= 128_000, 16_384).otherwise(8_192)
+
+
+def review_tokens(size: Column) -> Column:
+    return F.least(F.lit(8_192), F.greatest(F.lit(4_096), F.floor(generation_tokens(size) / 2)))
+
+
+def density_scale(nodes: Column) -> Column:
+    """How much smaller nodes are drawn in graphs of more than 150."""
+    return F.when(nodes <= 150, 1.0).otherwise(F.greatest(F.lit(0.35), F.sqrt(150 / nodes)))
+
+
+def node_size(links: Column, most_links: Column, nodes: Column, scale: float = 1.0, least: float = 8.0, most: float = 28.0) -> Column:
+    """A node's size: with the root of its share of the most linked one's links; the least where nothing is linked."""
+    return F.when(most_links == 0, least).otherwise((least + F.sqrt(links / most_links) * (most - least)) * density_scale(nodes) * scale)
+
+
+def weak_edge(nodes: Column) -> Column:
+    """The share of the largest weight below which edges are passed over."""
+    return F.when(nodes > 2_500, 0.16).when(nodes > 1_200, 0.1).when(nodes > 700, 0.05).otherwise(0.0)
+
+
+def label_size(nodes: Column) -> Column:
+    """The size from which nodes carry labels."""
+    return F.when(nodes > 2_500, 18).when(nodes > 1_200, 14).when(nodes > 600, 10).otherwise(6)
+
+
+def label_density(nodes: Column) -> Column:
+    return F.when(nodes > 2_500, 0.08).when(nodes > 1_200, 0.14).when(nodes > 600, 0.24).otherwise(0.4)
