@@ -64,11 +64,20 @@ REASONING = r'"reasoning(?:_content)?"\s*:\s*"([^"]*)"'
 RAW_FOLDER = "raw/sources/"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it's used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def replaced(text: Column, pattern: str, make: Callable[[Column], Column]) -> Column:
     """A text whose matches give what ``make`` makes of their first group."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.zip_with(found, F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda f, p: F.concat(make(f), p)), ""))
+
+    def joined(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+        after = lambda pieces: F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return bound(F.split(t, pattern, -1), lambda pieces: F.concat(F.get(pieces, F.lit(0)), F.array_join(F.zip_with(found, after(pieces), lambda f, p: F.concat(make(f), p)), "")))
+
+    return bound(text, joined)
 
 
 def formulas_as_text(text: Column) -> Column:
@@ -175,9 +184,10 @@ def canonical_sources(sources: Column, own: Column) -> Column:
         return F.when((F.lower(path) == key) | (~F.contains(path, F.lit("/")) & (F.lower(path) == F.lower(F.element_at(F.split(slashes(own), "/"), -1)))), own).otherwise(path)
 
     lower = lambda c: F.lower(slashes(c))
+    whole = lambda found: F.when(F.exists(found, lambda s: lower(s) == key), found).otherwise(F.concat(found, F.array(own)))
+    once = lambda found: bound(F.transform(found, lower), lambda keys: F.filter(found, lambda s, i: F.array_position(keys, lower(s)) == i + 1))
     found = F.transform(F.filter(F.coalesce(sources, F.array().cast("array<string>")), valid), named)
-    found = F.when(F.exists(found, lambda s: lower(s) == key), found).otherwise(F.concat(found, F.array(own)))
-    return F.filter(found, lambda s, i: F.array_position(F.transform(found, lower), lower(s)) == i + 1)
+    return bound(bound(found, whole), once)
 
 
 # ---- answers and reviews
