@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.plans import corpus_queries, graph_queries, lifecycle_queries, page_queries, queue_queries, rule_queries, search_queries, store_queries, text_queries
+from weft.plans import context_queries, corpus_queries, graph_queries, lifecycle_queries, page_queries, queue_queries, rule_queries, search_queries, store_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
-for _module in (search_queries, graph_queries, corpus_queries, text_queries, lifecycle_queries, page_queries, queue_queries, store_queries, rule_queries):
+for _module in (search_queries, graph_queries, corpus_queries, text_queries, lifecycle_queries, page_queries, queue_queries, store_queries, rule_queries, context_queries):
     _ALL |= _module.QUERIES
 
 

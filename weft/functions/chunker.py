@@ -37,7 +37,7 @@ class Options:
 Span = tuple[int, int]
 
 
-def _sections(text: str, at: int) -> Iterator[tuple[str, int, int]]:
+def sections(text: str, at: int) -> Iterator[tuple[str, int, int]]:
     """(heading path, start, end) of the parts between headings outside of fences."""
     path: dict[int, str] = {}
     start, fence = at, ""
@@ -138,7 +138,7 @@ def chunk(text: str | None, options: Options = Options()) -> list[dict]:
     options, text = options.sane(), text or ""
     front = FRONT.match(text)
     out: list[dict] = []
-    for path, start, end in _sections(text, front.end() if front else 0):
+    for path, start, end in sections(text, front.end() if front else 0):
         if not text[start:end].strip():
             continue
         spans = [s for atom, whole in _atoms(text, start, end) for s in ([atom] if whole else _split(text, atom, options.target))]

@@ -202,6 +202,12 @@ def marked_section(text: str, name: str) -> str:
     return found[1] if found else ""
 
 
+def heading_section(text: str, name: str) -> str:
+    """The text under a second-level heading up to the next one, or an empty one; the heading's case doesn't count."""
+    found = re.search(rf"(?:\A|\n)##\s+{re.escape(name)}\s*\n(.*?)(?=\n##\s|\Z)", text or "", re.S | re.I)
+    return found[1].strip() if found else ""
+
+
 file_blocks_column = rowwise(file_blocks, "array<struct<path: string, content: string, problem: string>>")
 review_blocks_column = rowwise(review_blocks, "array<struct<type: string, title: string, description: string, options: array<string>, pages: array<string>, queries: array<string>>>")
 lint_blocks_column = rowwise(lint_blocks, "array<struct<type: string, severity: string, title: string, detail: string, pages: array<string>>>")

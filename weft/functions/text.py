@@ -160,6 +160,19 @@ def wikilinks(content: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(content, F.lit(WIKILINK), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def scanned_links(content: Column) -> Column:
+    """Targets by the scanner's rule: from [[ to the first ]], up to a pipe, trimmed, in order, repeats included."""
+    closed = F.left(content, F.char_length(content) - F.char_length(F.substring_index(content, "]]", -1)))  # so that each [[ finds its end
+    found = F.regexp_extract_all(closed, F.lit(r"(?s)\[\[(.*?)\]\]"), F.lit(1))
+    return F.filter(F.transform(found, lambda x: F.regexp_replace(F.split(x, r"\|").getItem(0), r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
+def link_address(text: Column) -> Column:
+    """How links and names of pages meet in contexts: no fragment, no .md at the end, / as separator, lower case, hyphens for spaces."""
+    cut = F.regexp_replace(F.regexp_replace(F.split(text, "#").getItem(0), r"(?U)^\s+|\s+$", ""), r"(\.md)+$", "")
+    return F.replace(F.lower(F.replace(cut, F.lit("\\"), F.lit("/"))), F.lit(" "), F.lit("-"))
+
+
 def image_refs(content: Column) -> Column:
     """URLs of ![alt](url), distinct, in order."""
     return F.array_distinct(F.regexp_extract_all(content, F.lit(r"!\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1)))

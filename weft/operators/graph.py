@@ -155,13 +155,47 @@ def communities(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
     return rows.select("community", number.alias("number"), "size", "intra", (F.col("intra") / possible).alias("cohesion"), "top_labels")
 
 
-def bridges(nodes: DataFrame, edges: DataFrame, least: int = 3, limit: int = 3) -> DataFrame:
-    """Nodes with neighbours in ``least`` communities or more, the first ``limit``."""
-    at = nodes.select(F.col("id").alias("dst"), F.col("community").alias("c"))
+def bridges(nodes: DataFrame, edges: DataFrame, least: int = 3, limit: int = 3, among: DataFrame | None = None) -> DataFrame:
+    """Nodes with neighbours in ``least`` communities or more, the first ``limit``; neighbours are looked for ``among`` other nodes if given."""
+    at = (nodes if among is None else among).select(F.col("id").alias("dst"), F.col("community").alias("c"))
     found = both_ways(edges).join(at, "dst").groupBy(F.col("src").alias("id")).agg(F.countDistinct("c").alias("n_communities"))
+    found = found if among is None else found.join(nodes.select("id"), "id", "left_semi")
     return found.where(F.col("n_communities") >= least).orderBy(F.col("n_communities").desc(), "id").limit(limit)
 
 
+#: Cohesion below which a community of three and more is sparse, a fixed value.
+SPARSE = 0.15
+
+
+def knowledge_gaps(nodes: DataFrame, edges: DataFrame, limit: int = 8) -> DataFrame:
+    """``kind, subject, title, n_pages, measure`` of the first ``limit`` gaps of nodes (id, label, type, community, degree): the isolated pages as
+    one, the sparse communities by size, and the bridges between communities.
+
+    ``subject`` is the community's old number or the bridge; ``measure`` the most links of an isolated page, the cohesion, or the bridge's communities.
+    ``gap_pages`` gives the pages. Overview, index and log are never isolated or bridges."""
+    alone = _isolated(nodes).agg(F.count("*").alias("n"), F.max("degree").alias("most")).where("n > 0")
+    title = F.concat(F.col("n").cast("string"), F.when(F.col("n") > 1, " isolated pages").otherwise(" isolated page"))
+    rows = alone.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("isolated-node").alias("kind"), F.lit("").alias("subject"), title.alias("title"), F.col("n").alias("n_pages"), F.col("most").cast("double").alias("measure"))
+    thin = communities(nodes, edges, 1).where((F.col("cohesion") < SPARSE) & (F.col("size") >= 3))
+    rows = rows.unionByName(thin.select(F.lit(1).alias("part"), F.col("number").cast("long").alias("at"), F.lit("sparse-community").alias("kind"), F.col("community").cast("string").alias("subject"), F.concat(F.lit("Sparse cluster: "), "top_labels").alias("title"), F.col("size").alias("n_pages"), F.col("cohesion").alias("measure")))
+    over = bridges(nodes.where(~F.col("id").cast("string").isin(*STRUCTURAL)), edges, among=nodes).join(nodes.select("id", "label"), "id")
+    at = F.row_number().over(Window.orderBy(F.col("n_communities").desc(), "id")).cast("long")  # of three rows
+    rows = rows.unionByName(over.select(F.lit(2).alias("part"), at.alias("at"), F.lit("bridge-node").alias("kind"), F.col("id").cast("string").alias("subject"), F.concat(F.lit("Key bridge: "), "label").alias("title"), F.lit(1).cast("long").alias("n_pages"), F.col("n_communities").cast("double").alias("measure")))
+    return rows.orderBy("part", "at").limit(limit).drop("part", "at")
+
+
+def _isolated(nodes: DataFrame) -> DataFrame:
+    return nodes.where((F.col("degree") <= 1) & (F.col("type") != "overview") & ~F.col("id").cast("string").isin("index", "log"))
+
+
+def gap_pages(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``kind, subject, id``: every page of the gaps that ``knowledge_gaps`` lists."""
+    listed = F.broadcast(gaps.select("kind", "subject"))  # at most its limit
+    kinds = ((_isolated(nodes), "isolated-node", F.lit("")), (nodes, "sparse-community", F.col("community").cast("string")), (nodes, "bridge-node", F.col("id").cast("string")))
+    rows = [of.select(F.lit(kind).alias("kind"), subject.alias("subject"), "id") for of, kind, subject in kinds]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).join(listed, ["kind", "subject"], "left_semi")
+
+
 def surprising(nodes: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:
     """Edges (src, dst, weight) by surprise: another community 3, a distant type 2 or another type 1, a peripheral node at a
     hub 2, a weight between 0 and 2 one; those with ``least`` and more. nodes: (id, type, community, degree)."""
