@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from weft.functions import parse
 from weft.functions import text as T
 from weft.functions.rowwise import rowwise_pair
+from weft.session import materialize
 from weft.sources.store import Store
 
 SCHEMAS = {"pages": "path string, content string", "backup": "key string, path string, content string, added boolean", "merges": "key string, page string, canonical string"}
@@ -76,7 +77,7 @@ def plan(pages: DataFrame, groups: DataFrame, merge: Callable[[str, list[str]],
 
     ``merge(canonical, contents)`` is an injected function from a group's whole pages, the canonical one first, to the merged page. A group is merged in one call,
     so its pages are in one task; a group is what a user confirmed."""
-    members = checked(pages, groups)
+    members = materialize(checked(pages, groups), "members")  # a row for each page of the groups, asked for by every step
     texts = members.join(pages, "path").select("canonical", "page", "path", "content")
 
     def merged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,6 +131,7 @@ def execute(store: Store, run: int, groups: DataFrame, merge: Callable[[str, lis
     # the state that the steps are computed from names their folders: other pages, other folders
     label = f"{key}-{abs(hash_of(entry['tables'].get('pages', [])))}"
     pages = store.read("pages", base)
+    groups = materialize(groups.select("page", "canonical"), "groups")  # worked out once, however it was made
     steps = plan(pages, groups, merge, today, key)
     after("plan")
     staged = {}

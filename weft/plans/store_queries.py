@@ -23,8 +23,9 @@ def merge_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     said = F.concat("text", F.lit("\n[["), F.concat(F.lit("Doc-"), F.col("id") + 1), F.lit("|next]]"))
     pages = docs.select(F.concat(F.lit("wiki/doc-"), "id", F.lit(".md")).alias("path"), said.alias("content"))
-    first = docs.groupBy("text").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = docs.join(first, "text").where("id > a").groupBy("a").agg(F.min("id").alias("b"))
+    keys = docs.select("id", F.sha2("text", 256).alias("key"))  # texts are compared by their hashes, so they stay where they are
+    first = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    pairs = keys.join(first, "key").where("id > a").groupBy("a").agg(F.min("id").alias("b"))
     name = lambda c: F.concat(F.lit("doc-"), c)
     groups = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a").select(name(F.col("id")).alias("page"), name(F.col("a")).alias("canonical"))
     folder = f"{checkpoint_dir(spark)}/weft-store-{uuid.uuid4().hex}"
