@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import measures as M
-from weft.session import materialize
+from weft.session import dealt, materialize
 
 STRUCTURAL = ("index", "log", "overview")
 
+#: Pairs that a row is taken to give when tasks are dealt, a fixed value; where rows give more, tasks are larger in proportion.
+PAIRS_A_ROW = 3
+
 
 def resolve_targets(links: DataFrame, ids: DataFrame) -> DataFrame:
     """Links (src, raw) to page ids (id, ordinal): the exact id, else the first page whose id equals the target in lower
@@ -105,11 +108,16 @@ def common_neighbors(edges: DataFrame, pairs: DataFrame | None = None) -> DataFr
     return wedges.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum("w").alias("adamic_adar"))
 
 
-def shared_sources(sources: DataFrame) -> DataFrame:
-    """(a, b, shared) for pages a < b of (id, source): sources that both name; a's are a set, b's count as often as they stand."""
-    left = sources.select(F.col("id").alias("a"), "source").distinct()
-    right = sources.select(F.col("id").alias("b"), "source")
-    return left.join(right, "source").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+def shared_sources(sources: DataFrame, n_rows: int | None = None, once: bool = False) -> DataFrame:
+    """(a, b, shared) for pages a < b of (id, source): sources that both name; a's are a set, b's count as often as they stand, or ``once``.
+
+    Sources and pairs are dealt by the number of rows, which is counted if it isn't given."""
+    n = sources.count() if n_rows is None else n_rows
+    rows = dealt(sources.select("id", "source"), n, "source")
+    left = rows.distinct()
+    right = left if once else rows
+    pairs = left.withColumnRenamed("id", "a").join(right.withColumnRenamed("id", "b"), "source").where("a < b").select("a", "b")
+    return dealt(pairs, PAIRS_A_ROW * n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def affinity(a: Column, b: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.session import table
+from weft.operators.graph import PAIRS_A_ROW
+from weft.session import dealt, table
 
 SUPPORT = 2
 TYPES = ("entity", "concept", "source", "query", "synthesis")
@@ -23,9 +24,13 @@ nodes AS (SELECT p_partkey AS id, p_name AS label, {TYPE_SQL} AS type, p_size //
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of ``EDGES_SQL``; orders and pairs are dealt by the number of lines."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    n = lines.count()
+    lines = dealt(lines, n, "l_orderkey")
     a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
-    return a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= SUPPORT)
+    pairs = a.join(b, "l_orderkey").where("src < dst").select("src", "dst")
+    return dealt(pairs, PAIRS_A_ROW * n, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= SUPPORT)
 
 
 def part_type():
