@@ -20,3 +20,19 @@ def test_edges_are_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
             if o is not None and o == q and None not in (p, r) and p < r:
                 want[p, r] = want.get((p, r), 0) + 1
     assert {(r.src, r.dst): r.weight for r in e.collect()} == {k: v for k, v in want.items() if v >= common.SUPPORT}
+
+
+def test_shared_sources_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    rng = random.Random(2)
+    held = [(rng.randrange(10), rng.randrange(300)) for _ in range(1000)]
+    rows = spark.createDataFrame(held, "id long, source long")
+    for once in (False, True):
+        found = G.shared_sources(rows, once=once)
+        assert found.rdd.getNumPartitions() >= 30
+        want = {}
+        for a, s in set(held):
+            for b, t in set(held) if once else held:
+                if s == t and a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+        assert {(r.a, r.b): r.shared for r in found.collect()} == want

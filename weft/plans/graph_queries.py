@@ -182,8 +182,8 @@ SELECT id, (CASE WHEN id IN (SELECT id FROM m) THEN 10000 ELSE 5000 END) + degre
 
 def source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages in common sources: suppliers that share three parts and more."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("source")).distinct()
-    return G.shared_sources(lines).where("shared >= 3")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("source"))
+    return G.shared_sources(lines, lines.count(), once=True).where("shared >= 3")
 
 
 OVERLAP_SQL = """WITH l AS (SELECT DISTINCT l_suppkey AS id, l_orderkey AS source FROM lineitem) SELECT x.id AS a, y.id AS b, count(*) AS shared FROM l x JOIN l y USING (source) WHERE x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 3"""
