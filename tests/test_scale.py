@@ -3,6 +3,7 @@
 import random
 
 from weft import session
+from weft.operators import dedup as D
 from weft.operators import graph as G
 from weft.plans import common
 
@@ -36,3 +37,27 @@ def test_shared_sources_are_dealt_by_the_number_of_rows(spark, monkeypatch):
                 if s == t and a < b:
                     want[a, b] = want.get((a, b), 0) + 1
         assert {(r.a, r.b): r.shared for r in found.collect()} == want
+
+
+def _greedy(sizes: list[int], most: int) -> list[int]:
+    out, batch, held = [], -1, most
+    for n in sizes:
+        batch, held = (batch, held + n) if held + n <= most else (batch + 1, n)
+        out.append(batch)
+    return out
+
+
+def test_packing_takes_the_same_few_jobs_whatever_the_number_of_batches(spark, monkeypatch):
+    monkeypatch.setattr(D, "RANGE_CLUSTERS", 20)
+    rng = random.Random(3)
+    jobs = []
+    for n in (40, 400):
+        sizes = [rng.choice((1, 2, 3, 7, 30)) for _ in range(n)]
+        members = spark.createDataFrame([(i, float(c)) for c, k in enumerate(sizes) for i in range(k)] + [(0, float("nan")), (1, None)], "id int, cluster double")
+        spark.sparkContext.setJobGroup(f"pack{n}", "")
+        got = {r.cluster: r.batch for r in D.pack_clusters(members, 10).where("not isnan(cluster)").collect()}
+        assert [got[float(c)] for c in range(n)] == _greedy(sizes, 10)
+        assert D.pack_clusters(members, 10).where("isnan(cluster)").first().batch == _greedy(sizes + [1], 10)[-1]
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"pack{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] and jobs[1] <= jobs[0] + 8  # no rounds that grow with the number of batches

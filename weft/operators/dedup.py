@@ -84,42 +84,68 @@ def drop_whitelisted(groups: DataFrame, whitelist: DataFrame, ids: str = "ids")
     return groups.withColumn("_key", group_key(F.col(ids))).join(whitelist.select(F.col("key").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
 
 
-def _running(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` over all rows up to each, in a unique order: sums within ranges, then the sums of the ranges before. One row for each
-    range is ordered in one task."""
-    dealt = materialize(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("_range").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    local = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return dealt.withColumn("_local", local).join(F.broadcast(bases), "_range").withColumn(out, F.col("_base") + F.col("_local")).drop("_range", "_local", "_base")
+#: Clusters that ``pack_clusters`` means for a range, a fixed value.
+RANGE_CLUSTERS = 250_000
+
+
+def _batch_steps(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of clusters on a line, and for each which one begins the next batch if it begins one (their number: one behind them).
+
+    The next batch begins at the first cluster that ends beyond ``most`` members from the start, and beyond the first cluster itself."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    return starts, ends, np.searchsorted(ends, np.maximum(starts + most, ends), side="right")
+
+
+def _range_function(sizes: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """What a range of clusters makes of each number of members that a batch from before may still reach into it, from 0 to ``most`` - 1: how far its own last
+    batch reaches into the next range, and how many batches begin in it."""
+    starts, ends, to = _batch_steps(sizes, most)
+    reach, begun = np.arange(most), np.zeros(most, int)
+    at = np.searchsorted(ends, reach, side="right")
+    while (on := at < len(sizes)).any():
+        now = at[on]
+        reach[on], at[on] = np.maximum(starts[now] + most, ends[now]), to[now]
+        begun[on] += 1
+    return (reach - ends[-1]).tolist(), begun.tolist()
 
 
 def pack_clusters(members: DataFrame, most: int = 80) -> DataFrame:
     """(id, cluster, batch): clusters in order fill batches of at most ``most`` members; none is split, a larger one stands alone.
 
-    The greedy fold, in parallel. Clusters lie one behind another on a line of members. A batch that starts at a place ends before the cluster that holds the
-    place ``most`` further on (or behind its first cluster, if that is the same): so each cluster's next start is known without the fold, by a join on
-    stretches of the line. The starts that are reached from the first are found by doubling jumps, in as many rounds as the number of batches has bits.
+    The greedy fold, in parallel. Clusters are dealt in order into ranges of a bounded number. Of the batches before it a range needs to know only how many
+    members the last one still reaches over, which is less than ``most``: so each range works out for each such number what it hands on, all ranges at once. The
+    driver follows one number from range to range (a row of ``most`` small numbers for each), then all ranges number their batches at once.
     Rows without a cluster have no batch and are left out; ids may repeat."""
     rows = members.where("cluster is not null")
-    sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"))
-    line = materialize(_running(sizes, "cluster", "n", "end").select("cluster", "n", (F.col("end") - F.col("n")).alias("start"), "end"), "line")
-    held = line.select(F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.expr(f"start div {most}"), F.expr(f"(end - 1) div {most}"))).alias("stretch"))
-    aims = line.select("start", "end", (F.col("start") + most).alias("aim"), F.expr(f"(start + {most}) div {most}").alias("stretch"))
-    found = aims.join(held, "stretch").where("s <= aim and aim < e")
-    jumps = materialize(found.select("start", F.when(F.col("s") == F.col("start"), F.col("end")).otherwise(F.col("s")).alias("to")), "jumps")
-    # a jump from the last batch leads nowhere; one over the end is to a start that isn't there
-    reached = materialize(line.where("start = 0").select("start"), "starts")
-    n = reached.count()
-    while n:
-        reached = materialize(reached.unionByName(reached.join(jumps, "start").select(F.col("to").alias("start"))).join(line.select("start"), "start", "left_semi").distinct(), "starts")
-        now = reached.count()
-        if now == n:
-            break
-        n = now
-        jumps = materialize(jumps.join(jumps.select(F.col("start").alias("to"), F.col("to").alias("further")), "to").select("start", F.col("further").alias("to")), "jumps")
-    marked = line.join(reached.withColumn("first", F.lit(1)), "start", "left").select("cluster", F.coalesce("first", F.lit(0)).alias("first"))
-    numbered = _running(marked, "cluster", "first", "batch").select("cluster", (F.col("batch") - 1).cast("int").alias("batch"))
+    spark = rows.sparkSession
+    sizes = materialize(rows.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    n_ranges = max(spark.sparkContext.defaultParallelism, -(-sizes.count() // RANGE_CLUSTERS))
+    line = materialize(sizes.repartitionByRange(n_ranges, "cluster").withColumn("range", F.spark_partition_id()), "line")
+
+    def hand_on(part: pa.Table) -> pa.Table:
+        part = part.sort_by("cluster")
+        reach, begun = _range_function(part.column("n").to_numpy(), most)
+        return pa.table({"range": part.column("range").slice(0, 1), "reach": pa.array([reach], pa.list_(pa.int64())), "begun": pa.array([begun], pa.list_(pa.int64()))})
+
+    functions = materialize(line.groupBy("range").applyInArrow(hand_on, "range int, reach array<long>, begun array<long>"), "functions")
+    over, batch, entries = 0, 0, []
+    for r in functions.orderBy("range").toLocalIterator():
+        entries.append((r.range, over, batch))
+        over, batch = r.reach[over], batch + r.begun[over]
+    entered = F.broadcast(spark.createDataFrame(entries, "range int, over long, before long"))  # one row for each range
+
+    def number(part: pa.Table) -> pa.Table:
+        part = part.sort_by("cluster")
+        _, ends, to = _batch_steps(part.column("n").to_numpy(), most)
+        over, before = (part.column(c)[0].as_py() for c in ("over", "before"))
+        at, first = int(np.searchsorted(ends, over, side="right")), np.zeros(len(ends), int)
+        while at < len(first):
+            first[at], at = 1, to[at]
+        return pa.table({"cluster": part.column("cluster"), "batch": pa.array(before - 1 + np.cumsum(first), pa.int32())})
+
+    kind = line.schema["cluster"].dataType.simpleString()
+    numbered = line.join(entered, "range").groupBy("range").applyInArrow(number, f"cluster {kind}, batch int")
     return rows.join(numbered, "cluster").select("id", "cluster", "batch")
 
 
