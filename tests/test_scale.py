@@ -2,9 +2,14 @@
 
 import random
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from weft import session
+from weft.functions import text as T
 from weft.operators import dedup as D
 from weft.operators import graph as G
+from weft.operators import lint as L
 from weft.plans import common
 
 
@@ -61,3 +66,27 @@ def test_packing_takes_the_same_few_jobs_whatever_the_number_of_batches(spark, m
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"pack{n}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < jobs[0] and jobs[1] <= jobs[0] + 8  # no rounds that grow with the number of batches
+
+
+def _suggested_page_by_page(broken, pages, names):
+    """The rule of suggest_targets on every page, without texts."""
+    asks = broken.select("target").distinct().select("target", F.explode(T.bigrams(F.col("target"))).alias("g"))
+    index = pages.select("id", F.explode(F.flatten(F.array(*[T.bigrams(F.col(n)) for n in names]))).alias("g"))
+    order = lambda *c: F.row_number().over(Window.partitionBy("target").orderBy(*c))
+    top = asks.join(index, "g").groupBy("target", "id").count().withColumn("r", order(F.desc("count"), "id")).where(f"r <= {L.CANDIDATES}")
+    like = F.greatest(*[T.string_similarity(F.col("target"), F.col(n)) for n in names], F.lit(0.0))
+    return top.join(pages, "id").withColumn("s", like).withColumn("f", order(F.desc("s"), "r")).where(f"f = 1 and s >= {L.BROKEN_LEAST}").select("target", "id", "s")
+
+
+def test_suggestions_pair_texts_and_not_their_pages(spark):
+    rng = random.Random(4)
+    words = ("blue ring", "blue rung", "old plate", "plate", "hot bolt", "hot bolts", "", "colt hob")
+    pages = [(i, rng.choice(words), rng.choice(("tool box", "box tool", None))) for i in range(400)]  # some texts have under, some over 64 pages
+    pages += [(i, "blue ringlet", "seldom") for i in range(400, 403)]
+    pages = spark.createDataFrame(pages, "id long, text string, ids string")
+    broken = spark.createDataFrame([(t,) for t in ("bue ring", "hot blt", "old plat", "late", "tool bx", "ringlet", "nothing", "")], "target string")
+    for names in (["text"], ["text", "ids"]):
+        found = L.suggest_targets(broken, pages, names)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, _suggested_page_by_page(broken, pages, names).collect()))
+    joins = [p for p in L.suggest_targets(broken, pages, ["text"]).inputFiles() if "texts" in p]
+    assert joins and spark.read.parquet(*joins).count() == 9  # what meets the targets: a row for each text
