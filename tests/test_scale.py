@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft import session
+from weft.functions import languages
 from weft.functions import text as T
 from weft.operators import dedup as D
 from weft.operators import graph as G
@@ -90,3 +91,12 @@ def test_suggestions_pair_texts_and_not_their_pages(spark):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, _suggested_page_by_page(broken, pages, names).collect()))
     joins = [p for p in L.suggest_targets(broken, pages, ["text"]).inputFiles() if "texts" in p]
     assert joins and spark.read.parquet(*joins).count() == 9  # what meets the targets: a row for each text
+
+
+def test_language_reads_a_text_a_fixed_few_times(spark):
+    plan = spark.createDataFrame([("",)], "whole string").select(languages.detect(F.col("whole")))._jdf.queryExecution().analyzed().toString()
+    assert plan.split("LogicalRDD")[0].split("LocalRelation")[0].count("whole#") <= 2
+    texts = ["the book", "und_ der", "x und y", "não", "é", "é e", "on på en", "漢か", "привет", "پب", "ñ", "", None]
+    want = ["English", "German", "German", "Portuguese", "English", "English", "Swedish", "Japanese", "Russian", "Persian", "Spanish", "English", "English"]  # as before the rules shared one reading
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", languages.detect(F.col("t"))).collect()
+    assert [dict(map(tuple, found))[i] for i in range(len(texts))] == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,21 +61,46 @@ def _bounded(word: str) -> str:
     return edge(word[0], False) + word + edge(word[-1], True)
 
 
+_HAN, _KANA, _ARABIC = "㐀-鿿", "぀-ヿ", "؀-ۿ"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once for a row, however often it's used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def detect(text: Column) -> Column:
     """The language of a text: Japanese where kana and Han meet, else the script with the most characters if it has two (ties:
-    the first of the table; Persian by its own letters), else the first Latin rule that holds, else English."""
-    count = lambda ranges: F.regexp_count(text, F.lit(f"[{ranges}]"))
-    han, kana = count("㐀-鿿"), count("぀-ヿ")
-    scripts = [("Chinese", han), ("Japanese", kana), ("Arabic", count("؀-ۿ")), *[(language, count(ranges)) for _, language, ranges in SCRIPTS]]
+    the first of the table; Persian by its own letters), else the first Latin rule that holds, else English.
+
+    A text is read a fixed few times, not once for each script and rule: for its characters behind U+036F (all scripts are there), its characters beyond ASCII, and
+    its runs of ASCII letters, digits and underscores that are words of a rule; the rules look at these."""
+    listed = sorted({w for _, _, words, _ in LATIN for w in words.split() if w.isascii()})
+    first = F.struct(F.regexp_replace(text, r"[\x00-\u036F]+", "").alias("script"), F.lower(text).alias("low"))
+    beyond = lambda v: F.regexp_replace(v["low"], r"[\x00-\x7F]+", "")
+    spoken = lambda v: F.array_intersect(F.split(v["low"], r"\W+"), F.array(*map(F.lit, listed)))
+    return _once(first, lambda v: _once(F.struct(v["script"].alias("script"), v["low"].alias("low"), beyond(v).alias("beyond"), spoken(v).alias("words")), _by_rules))
+
+
+def _by_rules(v: Column) -> Column:
+    """The language by a text's characters that may be of the scripts, its lower case, that beyond ASCII, and the ASCII words of the rules in it."""
+    count = lambda ranges: F.regexp_count(v["script"], F.lit(f"[{ranges}]"))
+    han, kana = count(_HAN), count(_KANA)
+    scripts = [("Chinese", han), ("Japanese", kana), ("Arabic", count(_ARABIC)), *[(language, count(ranges)) for _, language, ranges in SCRIPTS]]
     best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, n) in enumerate(scripts)]))
-    out = F.when((kana > 0) & (han > 0), "Japanese").when((best["n"] >= 2) & (best["name"] == "Arabic") & (count("پچژگ") > 0), "Persian").when(best["n"] >= 2, best["name"])
-    lower = F.lower(text)
+    most = lambda b: F.when((b["n"] >= 2) & (b["name"] == "Arabic") & (count("پچژگ") > 0), "Persian").when(b["n"] >= 2, b["name"])
+    by_script = F.when(F.char_length(v["script"]) >= 2, F.when((kana > 0) & (han > 0), "Japanese").otherwise(_once(best, most)))
+    by_words = None
     for language, letters, words, instead in LATIN:
         rule = F.lit(True)
         if letters:
-            rule = rule & lower.rlike(f"[{letters}]")
+            rule = rule & v["beyond"].rlike(f"[{letters}]")
         if words:
-            spoken = lower.rlike("|".join(map(_bounded, words.split())))
-            rule = rule & (spoken | lower.rlike(f"[{instead}]") if instead else spoken)
-        out = out.when(rule, language)
-    return out.otherwise("English")
+            plain, other = [w for w in words.split() if w.isascii()], [w for w in words.split() if not w.isascii()]
+            said = F.arrays_overlap(v["words"], F.array(*map(F.lit, plain)))
+            if other:
+                signs = "".join(sorted({c for w in other for c in w if not c.isascii()}))
+                said = said | (v["beyond"].rlike(f"[{signs}]") & v["low"].rlike("|".join(map(_bounded, other))))
+            rule = rule & (said | v["beyond"].rlike(f"[{instead}]") if instead else said)
+        by_words = F.when(rule, language) if by_words is None else by_words.when(rule, language)
+    return F.coalesce(by_script, by_words.otherwise("English"))
