@@ -1,12 +1,14 @@
 """Steps whose tasks must stay the same size when tables grow."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft import session
-from weft.functions import languages
+from weft.functions import html, languages
 from weft.functions import text as T
 from weft.operators import dedup as D
 from weft.operators import graph as G
@@ -100,3 +102,14 @@ def test_language_reads_a_text_a_fixed_few_times(spark):
     want = ["English", "German", "German", "Portuguese", "English", "English", "Swedish", "Japanese", "Russian", "Persian", "Spanish", "English", "English"]  # as before the rules shared one reading
     found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", languages.detect(F.col("t"))).collect()
     assert [dict(map(tuple, found))[i] for i in range(len(texts))] == want
+
+
+def test_pages_are_python_objects_a_few_at_a_time():
+    page = "<p>" + "word, and more of it. " * 1000 + "</p>"
+    pages = pa.array([page] * 800 + [None])
+    tracemalloc.start()
+    found = html.markdowns(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 801 and found[800].as_py() == "" and found[0].as_py() == found[799].as_py() == html.markdown(html.article(page))
+    assert peak < pages.nbytes / 2  # all pages, or all results, as Python objects are more than all of it
