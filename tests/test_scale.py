@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from weft.functions import text as T
 from weft.operators import dedup as D
 from weft.operators import graph as G
 from weft.operators import lint as L
-from weft.plans import common
+from weft.plans import common, graph_queries
 
 
 def test_edges_are_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
@@ -31,6 +32,17 @@ def test_edges_are_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
     assert {(r.src, r.dst): r.weight for r in e.collect()} == {k: v for k, v in want.items() if v >= common.SUPPORT}
 
 
+@pytest.mark.parametrize("name", ["type_affinity", "community_cohesion", "graph_filter", "relevance_score", "bridge_nodes", "backlinks_missing"])
+def test_parts_are_joined_by_key_and_not_sent_whole(spark, name):
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10000b")  # over the parts of sf0.001, under its lines, as at size
+    try:
+        plan = graph_queries.QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_shared_sources_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "ROWS_A_TASK", 100)
     rng = random.Random(2)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import measures as M
-from weft.session import dealt, materialize
+from weft.session import dealt, materialize, spread
 
 STRUCTURAL = ("index", "log", "overview")
 
@@ -70,7 +70,7 @@ def filter_graph(nodes: DataFrame, edges: DataFrame, hidden_types: list[str] = (
     if most is not None:
         keep = keep & (F.col("degree") <= most)
     kept = nodes.where(keep)
-    return kept, induced(kept, edges)
+    return kept, induced(spread(kept), edges)
 
 
 def text_search(nodes: DataFrame, edges: DataFrame, query: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +80,7 @@ def text_search(nodes: DataFrame, edges: DataFrame, query: str, columns: list[st
     for token in query.lower().split():
         keep = keep & F.contains(hay, F.lit(token))
     kept = nodes.where(keep)
-    return kept, induced(kept, edges)
+    return kept, induced(spread(kept), edges)
 
 
 def api_graph(nodes: DataFrame, edges: DataFrame, q: str = "", node_type: str | None = None, limit: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +141,7 @@ def relevance(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame
     direct = forward.unionByName(backward).groupBy("a", "b").agg(F.count("*").alias("direct"))
     adamic = common_neighbors(edges, pairs).select("a", "b", "adamic_adar")
     na, nb = nodes.select(F.col("id").alias("a"), F.col("type").alias("ta"), F.col("sources").alias("sa")), nodes.select(F.col("id").alias("b"), F.col("type").alias("tb"), F.col("sources").alias("sb"))
-    rows = both.join(na, "a").join(nb, "b").join(direct, ["a", "b"], "left").join(adamic, ["a", "b"], "left")
+    rows = both.join(spread(na), "a").join(spread(nb), "b").join(direct, ["a", "b"], "left").join(adamic, ["a", "b"], "left")
     shared = F.size(F.filter("sb", lambda s: F.array_contains("sa", s)))
     total = F.coalesce("direct", F.lit(0)) * M.DIRECT_LINK + F.greatest(shared, F.lit(0)) * M.SOURCE_OVERLAP + F.coalesce("adamic_adar", F.lit(0.0)) * M.COMMON_NEIGHBOR + affinity(F.col("ta"), F.col("tb")) * M.AFFINITY
     return rows.select("a", "b", total.alias("relevance"))
@@ -151,7 +151,7 @@ def communities(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
     """Size, edges inside, cohesion and the ``top`` labels by degree of each community of nodes (id, label, community, degree).
 
     Communities are numbered by size, the largest 0 (ties: the smaller old number first)."""
-    at = nodes.select("id", "community")
+    at = spread(nodes.select("id", "community"))
     inside = edges.join(at.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src").join(at.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
     inside = inside.where("cs = cd").groupBy(F.col("cs").alias("community")).agg(F.count("*").alias("intra"))
     best = nodes.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.col("degree").desc(), "label"))).where(F.col("r") <= top)
@@ -165,7 +165,7 @@ def communities(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
 
 def bridges(nodes: DataFrame, edges: DataFrame, least: int = 3, limit: int = 3, among: DataFrame | None = None) -> DataFrame:
     """Nodes with neighbours in ``least`` communities or more, the first ``limit``; neighbours are looked for ``among`` other nodes if given."""
-    at = (nodes if among is None else among).select(F.col("id").alias("dst"), F.col("community").alias("c"))
+    at = spread((nodes if among is None else among).select(F.col("id").alias("dst"), F.col("community").alias("c")))
     found = both_ways(edges).join(at, "dst").groupBy(F.col("src").alias("id")).agg(F.countDistinct("c").alias("n_communities"))
     found = found if among is None else found.join(nodes.select("id"), "id", "left_semi")
     return found.where(F.col("n_communities") >= least).orderBy(F.col("n_communities").desc(), "id").limit(limit)

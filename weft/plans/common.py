@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators.graph import PAIRS_A_ROW
-from weft.session import dealt, table
+from weft.session import dealt, spread, table
 
 SUPPORT = 2
 TYPES = ("entity", "concept", "source", "query", "synthesis")
@@ -44,4 +44,4 @@ def nodes(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
     from weft.operators.graph import degrees
 
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), part_type().alias("type"), F.floor(F.col("p_size") / 5).cast("int").alias("community"))
-    return parts.join(degrees(e), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+    return spread(parts).join(degrees(e), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))

@@ -9,7 +9,7 @@ from weft.functions import measures as M
 from weft.operators import graph as G
 from weft.operators.components import connected_components
 from weft.plans.common import BOTH_SQL, EDGES_SQL, NODES_SQL, edges, nodes
-from weft.session import table
+from weft.session import spread, table
 
 
 def link_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ COMMON_SQL = f"""WITH {BOTH_SQL} SELECT x.src AS a, y.src AS b, count(*) AS comm
 def type_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by the types they connect, with the affinity of these."""
     e = edges(spark, sf_dir)
-    n = nodes(spark, sf_dir, e).select("id", "type")
+    n = spread(nodes(spark, sf_dir, e).select("id", "type"))
     rows = e.join(n.select(F.col("id").alias("src"), F.col("type").alias("ta")), "src").join(n.select(F.col("id").alias("dst"), F.col("type").alias("tb")), "dst")
     return rows.groupBy("ta", "tb").agg(F.count("*").alias("links")).select("ta", "tb", "links", G.affinity(F.col("ta"), F.col("tb")).alias("affinity"))
 
@@ -87,7 +87,7 @@ def relevance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevance of linked parts; a part's source is its brand."""
     e = edges(spark, sf_dir)
     brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand").alias("sources"))
-    n = nodes(spark, sf_dir, e).select("id", "type").join(brands, "id")
+    n = nodes(spark, sf_dir, e).select("id", "type").join(spread(brands), "id")
     return G.relevance(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e, n).select("a", "b", F.round("relevance", 6).alias("relevance"))
 
 
@@ -162,7 +162,7 @@ def backlinks_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     links = e.select("src", F.col("dst").alias("raw"))
     there = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("dst"))
-    resolved = links.join(there, links.raw == there.dst).select("src", "dst", "raw")
+    resolved = links.join(spread(there), links.raw == there.dst).select("src", "dst", "raw")
     out, back, missing = G.page_links(there, resolved, links)
     return out.withColumn("kind", F.lit("out")).unionByName(back.withColumn("kind", F.lit("back"))).unionByName(missing.withColumn("kind", F.lit("missing")))
 
