@@ -43,6 +43,23 @@ def test_parts_are_joined_by_key_and_not_sent_whole(spark, name):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def _readings_of_lines(rows) -> int:
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    return sum("Relation [" in line and "l_orderkey" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("name, uses", [("isolated_nodes", 1), ("graph_api", 2), ("common_neighbors", 3), ("adamic_adar", 4)])
+def test_links_are_worked_out_once_for_both_directions(spark, name, uses):
+    rows = graph_queries.QUERIES[name][0](spark, "/root/testdata/sf0.001")
+    assert 0 < _readings_of_lines(rows) <= 2 * uses  # a use of the links joins the lines with themselves
+
+
+def test_both_ways_keeps_repeated_edges_loops_and_nulls(spark):
+    edges = [(1, 2), (1, 2), (3, 3), (None, 4), (5, None)]
+    found = G.both_ways(spark.createDataFrame(edges, "src long, dst long"))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, edges + [(b, a) for a, b in edges]))
+
+
 def test_shared_sources_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "ROWS_A_TASK", 100)
     rng = random.Random(2)
