@@ -13,8 +13,9 @@ from weft.functions import html, languages
 from weft.functions import text as T
 from weft.operators import dedup as D
 from weft.operators import graph as G
+from weft.operators import lifecycle
 from weft.operators import lint as L
-from weft.plans import common, graph_queries
+from weft.plans import common, graph_queries, lifecycle_queries
 
 
 def test_edges_are_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
@@ -54,6 +55,16 @@ def test_links_are_worked_out_once_for_both_directions(spark, name, uses):
     assert 0 < _readings_of_lines(rows) <= 2 * uses  # a use of the links joins the lines with themselves
 
 
+def test_knowledge_context_works_links_out_once(spark):
+    assert 0 < _readings_of_lines(lifecycle_queries.knowledge_context(spark, "/root/testdata/sf0.001")) <= 2
+
+
+def test_knowledge_context_of_repeated_links_loops_and_nulls(spark):
+    links = spark.createDataFrame([(1, 3), (1, 2), (1, 2), (2, 2), (4, None), (None, 4)], "src long, dst long")
+    found = lifecycle.knowledge_context(spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 9)], "id long"), links, 1).collect()
+    assert {tuple(map(str, r)) for r in found} == {("1", "[2]", "[]", "2"), ("2", "[2]", "[1]", "3"), ("3", "[]", "[1]", "1"), ("4", "[]", "[]", "0"), ("9", "[]", "[]", "0")}
+
+
 def test_both_ways_keeps_repeated_edges_loops_and_nulls(spark):
     edges = [(1, 2), (1, 2), (3, 3), (None, 4), (5, None)]
     found = G.both_ways(spark.createDataFrame(edges, "src long, dst long"))

@@ -86,11 +86,11 @@ def distinct_images(results: DataFrame, query: str) -> DataFrame:
 
 def knowledge_context(pages: DataFrame, links: DataFrame, most: int = 20) -> DataFrame:
     """(id, outgoing, backlinks, link_count) of pages (id) with links (src, dst): sorted, distinct, cut to ``most``; the count is before the cut."""
-    out = links.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("outgoing"))
-    back = links.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_set("src")).alias("backlinks"))
+    ways = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("to"), F.lit(None).cast(links.schema["src"].dataType).alias("by")), F.struct(F.col("dst").alias("id"), F.lit(None).cast(links.schema["dst"].dataType).alias("to"), F.col("src").alias("by")))
+    lists = links.select(F.inline(ways)).groupBy("id").agg(F.sort_array(F.collect_set("to")).alias("outgoing"), F.sort_array(F.collect_set("by")).alias("backlinks"))  # links are worked out once
     kind = pages.schema["id"].dataType.simpleString()
     none = F.array().cast(f"array<{kind}>")
-    rows = pages.select("id").join(out, "id", "left").join(back, "id", "left").select("id", F.coalesce("outgoing", none).alias("outgoing"), F.coalesce("backlinks", none).alias("backlinks"))
+    rows = pages.select("id").join(lists, "id", "left").select("id", F.coalesce("outgoing", none).alias("outgoing"), F.coalesce("backlinks", none).alias("backlinks"))
     return rows.select("id", F.slice("outgoing", 1, most).alias("outgoing"), F.slice("backlinks", 1, most).alias("backlinks"), (F.size("outgoing") + F.size("backlinks")).alias("link_count"))
 
 
