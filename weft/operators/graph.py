@@ -40,14 +40,12 @@ def undirected(edges: DataFrame, order: Column | None = None) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Every edge and its reverse, in one pass: a union would work out the edges twice."""
-    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return edges.select(F.inline(F.array(there, back)))
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """(id, degree): every row of the edges counts for both ends."""
-    return both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    """(id, degree): every row of the edges counts for both ends, in one pass over the edges."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
