@@ -70,6 +70,27 @@ def test_degrees_of_repeated_edges_loops_and_nulls(spark):
     assert {(r.id, r.degree) for r in G.degrees(edges).collect()} == {(1, 2), (2, 2), (3, 2), (4, 1), (5, 1), (None, 2)}
 
 
+def test_louvain_rounds_join_links_once_and_tell_what_they_started_from(spark, monkeypatch):
+    links = [(i, (i * 7 + 3) % 20, float(1 + i % 3)) for i in range(20)] + [(i, i + 1, 1.0) for i in range(19)]
+    edges = spark.createDataFrame(links, "src long, dst long, weight double")
+    graph = edges.selectExpr("src as u", "dst as v", "weight as w").unionByName(edges.selectExpr("dst as u", "src as v", "weight as w")).where("u <> v").groupBy("u", "v").agg(F.sum("w").alias("w"))
+    total = graph.agg(F.sum("w")).first()[0]
+    state = graph.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id") % 4)
+    monkeypatch.setattr(G, "materialize", lambda df, label="t": spark.createDataFrame(df.collect(), df.schema))
+    moved = G._moved(graph, state, total, 0)
+    want = G.modularity(edges, state.select("id", F.col("c").alias("community"))).first()[0]
+    assert abs(G._modularity_before(moved, total) - want) < 1e-9 and moved.where("was <> id % 4").count() == 0
+    monkeypatch.setattr(G, "materialize", lambda df, label="t": df)
+    held = {n: spark.createDataFrame(d.collect(), d.schema) for n, d in (("graph", graph), ("state", state))}
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as at size
+    try:
+        plan = G._moved(held["graph"], held["state"], total, 0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert plan.count("SortMergeJoin") <= 5  # the links meet the state once, and its sums come with it
+
+
 def test_shared_sources_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "ROWS_A_TASK", 100)
     rng = random.Random(2)

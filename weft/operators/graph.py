@@ -246,24 +246,27 @@ def graph_hits(nodes: DataFrame, edges: DataFrame, matched: Column, limit: int =
 LEAST_GAIN = 1e-5
 
 
-def _modularity_of(graph: DataFrame, state: DataFrame, total: float) -> float:
-    """Modularity of a state (id, c) of a graph (u, v, w) with both directions of each link."""
-    x, y = state.select(F.col("id").alias("u"), F.col("c").alias("cu")), state.select(F.col("id").alias("v"), F.col("c").alias("cv"))
-    sums = graph.join(x, "u").join(y, "v").groupBy(F.col("cu").alias("c")).agg(F.sum("w").alias("all"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0.0)).alias("inside"))
-    return sums.agg(F.sum(F.col("inside") / total - (F.col("all") / total) ** 2)).first()[0] or 0.0
-
-
 def _moved(graph: DataFrame, state: DataFrame, total: float, turn: int) -> DataFrame:
-    """A state (id, k, c) after the nodes of one parity have moved where they gain most."""
+    """A state (id, k, c) after the nodes of one parity have moved where they gain most, with the community ``was`` that a node had and
+    the weight ``inside`` of its links in it. The links are joined once: sums of communities come with the nodes at their ends."""
     sums = state.groupBy("c").agg(F.sum("k").alias("tot"))
-    near = graph.where("u <> v").join(state.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("u").alias("id"), F.col("cv").alias("cand")).agg(F.sum("w").alias("win"))
-    own = state.select("id", F.col("c").alias("cand"), F.lit(0.0).alias("win"))
-    options = near.unionByName(own).groupBy("id", "cand").agg(F.sum("win").alias("win")).join(state, "id").join(sums.select(F.col("c").alias("cand"), "tot"), "cand")
-    rest = F.col("tot") - F.when(F.col("cand") == F.col("c"), F.col("k")).otherwise(0.0)
-    gain = F.round(F.col("win") - F.col("k") * rest / total, 12)
-    best = options.withColumn("gain", gain).groupBy("id").agg(F.max_by("cand", F.struct("gain", (F.col("cand") == F.col("c")).cast("int"), -F.xxhash64("cand"))).alias("to"))
+    at = state.select("id", "k", "c").join(sums, "c").select("id", "k", "c", "tot")
+    far = at.select(F.col("id").alias("v"), F.col("c").alias("cand"), F.col("tot").alias("sum"))
+    near = graph.join(far, "v").select(F.col("u").alias("id"), "cand", F.when(F.col("u") != F.col("v"), F.col("w")).otherwise(0.0).alias("win"), "w", "sum")
+    own = at.select("id", F.col("c").alias("cand"), F.lit(0.0).alias("win"), F.lit(0.0).alias("w"), F.col("tot").alias("sum"))
+    options = near.unionByName(own).groupBy("id", "cand").agg(F.sum("win").alias("win"), F.sum("w").alias("w"), F.max("sum").alias("sum")).join(at.select("id", "k", "c"), "id")
+    stays = F.col("cand") == F.col("c")
+    gain = F.round(F.col("win") - F.col("k") * (F.col("sum") - F.when(stays, F.col("k")).otherwise(0.0)) / total, 12)
+    best = F.max_by("cand", F.struct(gain.alias("gain"), stays.cast("int").alias("stays"), -F.xxhash64("cand"))).alias("to")
+    found = options.groupBy("id").agg(F.max("k").alias("k"), F.max("c").alias("was"), F.sum(F.when(stays, F.col("w"))).alias("inside"), best)
     moves = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
-    return materialize(state.join(best, "id").select("id", "k", F.when(moves, F.col("to")).otherwise(F.col("c")).alias("c")), "state")
+    return materialize(found.select("id", "k", F.when(moves, F.col("to")).otherwise(F.col("was")).alias("c"), "was", "inside"), "state")
+
+
+def _modularity_before(moved: DataFrame, total: float) -> float:
+    """Modularity of the state that ``_moved`` was given, from its result alone."""
+    sums = moved.groupBy("was").agg(F.sum("k").alias("all"), F.sum("inside").alias("inside"))
+    return sums.agg(F.sum(F.col("inside") / total - (F.col("all") / total) ** 2)).first()[0] or 0.0
 
 
 def louvain(edges: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
@@ -286,11 +289,12 @@ def louvain(edges: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
     mapping, reached = None, None
     while True:
         state = materialize(graph.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")), "state")
-        start = q = _modularity_of(graph, state, total)
-        turn = 0
+        first, turn = _moved(graph, state, total, 0), 0
+        start = q = _modularity_before(first, total)
         while True:
-            new = _moved(graph, _moved(graph, state, total, turn), total, turn + 1)
-            now = _modularity_of(graph, new, total)
+            new = _moved(graph, first, total, turn + 1)
+            first = _moved(graph, new, total, turn + 2)  # the next pair's, which tells what this pair has reached
+            now = _modularity_before(first, total)
             if now <= q + least_gain:
                 break
             state, q, turn = new, now, turn + 2
